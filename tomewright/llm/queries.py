@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import dac, packing, quality, tokencount
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    dac.write(table(spark, sf_dir, "documents"), path)
+    return dac.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.count_tokens(docs, scratch_path(spark, "token-counts"), keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 _STOP_SQL = ", ".join("'" + w + "'" for w in quality.stop_words())
 
 OP1_SQL = f"""
@@ -66,5 +86,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op7_packing": op7_packing,
+    "op9_token_files": op9_token_files,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLE_SQL = {
+    "op1_quality_rules": OP1_SQL,
+}
