@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, packing, quality, tokencount
+from . import dac, packing, quality, simhash, tokencount
 from .common import scratch_path
 
 
@@ -24,6 +24,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(
@@ -88,6 +94,7 @@ FROM b
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
