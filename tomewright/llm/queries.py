@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, packing, quality, simhash, tokencount
-from .common import scratch_path
+from . import chat, dac, packing, quality, simhash, tokencount
+from .common import scratch_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], talks.schema)
+    packed = written(chat.packs(talks.unionByName(extra)), "chat-packs")
+    turn = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chat.conversations(packed).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turn, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     dac.write(table(spark, sf_dir, "documents"), path)
@@ -96,6 +112,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
+    "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
