@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, packing, quality, simhash, tokencount
+from . import chat, dac, langid, packing, quality, simhash, tokencount
 from .common import scratch_path, written
 
 
@@ -24,6 +24,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = _remainder(3) == 1
+    model = langid.fit(docs.where(~held), "doc_id", "text", "lang")
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return langid.predict(rows, model)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -110,6 +122,7 @@ FROM b
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language": op2_language,
     "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
