@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, langid, packing, quality, simhash, tokencount
+from . import chat, dac, langid, packing, quality, simhash, tokencount, toxicity
 from .common import scratch_path, written
 
 
@@ -42,6 +42,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs.join(labels, "doc_id").where(_remainder(5) != 0))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (_remainder(5) == 0).alias("held_out"), "text"
+    )
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(
@@ -124,6 +139,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language": op2_language,
     "op4_simhash": op4_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
