@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, langid, packing, quality, simhash, tokencount, toxicity
+from . import ann, chat, dac, langid, packing, quality, simhash, tokencount, toxicity
 from .common import scratch_path, written
 
 
@@ -36,6 +36,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -138,6 +142,7 @@ FROM b
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language": op2_language,
+    "op3_nearest": op3_nearest,
     "op4_simhash": op4_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
