@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, dac, langid, packing, quality, simhash, tokencount, toxicity
+from . import ann, chat, dac, langid, mixing, packing, quality, simhash, tokencount, toxicity
 from .common import scratch_path, written
 
 
@@ -46,6 +46,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from the labelled documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -139,11 +143,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP5_SQL = """
+WITH s AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), r AS (
+  SELECT source, power(n, 0.5) * ((SELECT sum(n) FROM s) / (SELECT sum(power(n, 0.5)) FROM s)) / n AS rate
+  FROM s
+), m AS (
+  SELECT source, greatest(1, CAST(ceil(rate / 16) AS INT)) AS parts, rate FROM r
+), k AS (
+  SELECT source, parts, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)))
+           OVER (PARTITION BY source ORDER BY k) AS c
+  FROM m, (SELECT unnest(range(0, 101)) AS k)
+), u AS (
+  SELECT rowid, source,
+         CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || part), 1, 13) AS BIGINT)
+           / 4503599627370496.0 AS u
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, source FROM documents) d
+  JOIN (SELECT source AS src, unnest(range(1, parts + 1)) AS part FROM m) p ON d.source IS NOT DISTINCT FROM p.src
+), c AS (
+  SELECT u.rowid, count(k.k) AS copies
+  FROM u LEFT JOIN k ON u.source IS NOT DISTINCT FROM k.source AND k.c <= u.u GROUP BY u.rowid
+)
+SELECT d.* EXCLUDE (rowid), CAST(copy AS INT) AS copy,
+       CAST('0x' || substr(md5('17:order|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy), 1, 15) AS BIGINT)
+         AS shuffle_key
+FROM (SELECT row_number() OVER () AS rowid, * FROM documents) d
+JOIN (SELECT rowid, unnest(range(1, copies + 1)) AS copy FROM c) x ON d.rowid = x.rowid
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language": op2_language,
     "op3_nearest": op3_nearest,
     "op4_simhash": op4_simhash,
+    "op5_source_mix": op5_source_mix,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
@@ -152,4 +186,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op5_source_mix": OP5_SQL,
 }
