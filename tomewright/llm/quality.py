@@ -171,13 +171,12 @@ def score(df: DataFrame, text_col: str = "text", out_col: str = "quality", rules
         F.filter(F.split(col(t), "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias(s),
     )
     every = counts_of(col(t), col(w), col(s))
-    counts = fresh(df, "_q_counts")
-    counted = split.select(*keep, F.struct(*[every[c].alias(c) for c in COUNTS]).alias(counts))
+    # plain columns, not a struct: the optimizer would inline a struct's parts at every use
+    at = {c: fresh(df, f"_q_{c}") for c in COUNTS}
+    counted = split.select(*keep, *[every[c].alias(at[c]) for c in COUNTS])
 
     def over(part: str, whole: str) -> Column:
-        return F.coalesce(
-            col(counts)[part] / F.nullif(col(counts)[whole], F.lit(0).cast("long")), F.lit(0.0)
-        )
+        return F.coalesce(col(at[part]) / F.nullif(col(at[whole]), F.lit(0).cast("long")), F.lit(0.0))
 
     ratios = {
         "repeat_word_pct": 100 * over("n_repeat_words", "n_words"),
@@ -188,14 +187,14 @@ def score(df: DataFrame, text_col: str = "text", out_col: str = "quality", rules
         "bullet_line_ratio": over("n_bullet_lines", "n_lines"),
         "ellipsis_line_ratio": over("n_ellipsis_lines", "n_lines"),
     }
-    value = lambda m: ratios[m] if m in ratios else col(counts)[m]
+    value = lambda m: ratios[m] if m in ratios else col(at[m])
     base = [r for r in rules if r.measure in BASE_MEASURES]
     rest = [r for r in rules if r.measure not in BASE_MEASURES]
     base_failed = ~compile_rules(base, value)
     return counted.select(
         *keep,
         F.struct(
-            *[col(counts)[c].alias(c) for c in COUNTS],
+            *[col(at[c]).alias(c) for c in COUNTS],
             *[v.alias(k) for k, v in ratios.items()],
             base_failed.alias("base_failed"),
             (~base_failed & compile_rules(rest, value)).alias("kept"),
@@ -205,5 +204,10 @@ def score(df: DataFrame, text_col: str = "text", out_col: str = "quality", rules
 
 def kept(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df`` that every rule keeps, columns unchanged."""
-    q = fresh(df, "_q")
-    return score(df, text_col, q, rules).where(col(q)["kept"]).select(*[col(c) for c in df.columns])
+    q, flag = fresh(df, "_q"), fresh(df, "_q_kept")
+    names = [col(c) for c in df.columns]
+    # an expression that is not deterministic keeps the filter above the projection;
+    # pushed below, it would hold every measure once more for each of its uses
+    still = F.monotonically_increasing_id() >= 0
+    scored = score(df, text_col, q, rules).select(*names, (col(q)["kept"] & still).alias(flag))
+    return scored.where(col(flag)).select(*names)
