@@ -1,8 +1,8 @@
 """Registered queries by family, each with the SQL that states its result."""
 
-from . import retrieval
+from . import catalog, retrieval
 
-FAMILIES = [retrieval]
+FAMILIES = [retrieval, catalog]
 
 
 def queries() -> dict:
