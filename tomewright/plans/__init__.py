@@ -1,8 +1,8 @@
 """Registered queries by family, each with the SQL that states its result."""
 
-from . import catalog, retrieval
+from . import catalog, retrieval, text
 
-FAMILIES = [retrieval, catalog]
+FAMILIES = [retrieval, catalog, text]
 
 
 def queries() -> dict:
