@@ -13,10 +13,11 @@ recall against brute force must reach ``TARGET_RECALL``. A sample is sparser tha
 table, so its neighbours are further away and the fit errs to more probes.
 
 Equal vectors are one entry that carries its ``k`` + 1 smallest ids, which is all that a
-result can use, so copies do not crowd a bucket. A bucket is split into blocks of about
-``BLOCK_ROWS`` entries and of as many queries, and a task meets one block of either: no
-task holds a whole bucket, no pair of vectors is ever a row, and each block gives at most
-the ``k`` nearest of every query in it.
+result can use, so copies do not crowd a bucket. Buckets are dealt to groups of about
+``BLOCK_ROWS`` entries by their key; a group that got more is split into blocks, of its
+entries and of its queries, and a task meets one block of either. No task holds a hot
+bucket, no pair of vectors is ever a row, and a block gives at most the ``k`` nearest of
+every query in it, among the buckets that the query visits.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, as candidates or queries; so do rows with a null
@@ -144,8 +145,12 @@ def _binary(vec) -> bytes:
     return np.asarray(vec, dtype="<f8").tobytes()
 
 
-def _entries(rows: DataFrame, hashing: Hashing, k: int) -> DataFrame:
-    """(t, key, ids, vec): every class of equal vectors in its bucket of every table."""
+def _group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(groups)).astype(np.int32)
+
+
+def _entries(rows: DataFrame, hashing: Hashing, k: int, groups: int) -> DataFrame:
+    """(t, g, key, ids, vec): every class of equal vectors in its bucket of every table."""
     from pyspark.sql import Window
 
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(
@@ -162,15 +167,21 @@ def _entries(rows: DataFrame, hashing: Hashing, k: int) -> DataFrame:
             for t in range(len(hashing.planes)):
                 keys = hashing.keys(np.floor(hashing.places(vectors, t)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), t, dtype=np.int32)), pa.array(keys), batch.column(1), raw],
-                    names=["t", "key", "ids", "vec"],
+                    [
+                        pa.array(np.full(len(keys), t, dtype=np.int32)),
+                        pa.array(_group_of(keys, groups)),
+                        pa.array(keys),
+                        batch.column(1),
+                        raw,
+                    ],
+                    names=["t", "g", "key", "ids", "vec"],
                 )
 
-    return classes.select("vec", "ids").mapInArrow(run, "t int, key long, ids array<long>, vec binary")
+    return classes.select("vec", "ids").mapInArrow(run, "t int, g int, key long, ids array<long>, vec binary")
 
 
-def _visits(queries: DataFrame, hashing: Hashing) -> DataFrame:
-    """(t, key, q, qvec): every bucket that every query visits."""
+def _visits(queries: DataFrame, hashing: Hashing, groups: int) -> DataFrame:
+    """(t, g, q, qvec, keys): the buckets that every query visits, by table and group."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -178,21 +189,24 @@ def _visits(queries: DataFrame, hashing: Hashing) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 vector = np.array(batch.column(1)[i].as_py(), dtype=np.float64)
-                raw = _binary(vector)
+                q, raw, out = batch.column(0)[i].as_py(), _binary(vector), []
                 for t in range(len(hashing.planes)):
                     cells = hashing.visits(hashing.places(vector[None], t)[0], hashing.probes)
                     keys = np.unique(hashing.keys(cells))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(keys), t, dtype=np.int32)),
-                            pa.array(keys),
-                            pa.array([batch.column(0)[i].as_py()] * len(keys), pa.int64()),
-                            pa.array([raw] * len(keys), pa.binary()),
-                        ],
-                        names=["t", "key", "q", "qvec"],
-                    )
+                    at = _group_of(keys, groups)
+                    out += [(t, int(g), keys[at == g].tolist()) for g in np.unique(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([t for t, _, _ in out], pa.int32()),
+                        pa.array([g for _, g, _ in out], pa.int32()),
+                        pa.array([q] * len(out), pa.int64()),
+                        pa.array([raw] * len(out), pa.binary()),
+                        pa.array([k for _, _, k in out], pa.list_(pa.int64())),
+                    ],
+                    names=["t", "g", "q", "qvec", "keys"],
+                )
 
-    return queries.select("id", "vec").mapInArrow(run, "t int, key long, q long, qvec binary")
+    return queries.select("id", "vec").mapInArrow(run, "t int, g int, q long, qvec binary, keys array<long>")
 
 
 def nearest_in_block(k: int):
@@ -203,26 +217,31 @@ def nearest_in_block(k: int):
 
         out_q, out_id, out_d = [], [], []
         if entries.num_rows and visits.num_rows:
+            keys = entries.column("key").to_numpy()
+            order = np.argsort(keys, kind="stable")
             vectors = np.frombuffer(b"".join(entries.column("vec").to_pylist()), "<f8")
-            vectors = vectors.reshape(entries.num_rows, -1)
+            vectors = vectors.reshape(entries.num_rows, -1)[order]
             ids = entries.column("ids").to_pylist()
-            asked = np.frombuffer(b"".join(visits.column("qvec").to_pylist()), "<f8")
-            asked = asked.reshape(visits.num_rows, -1)
             norms = (vectors**2).sum(axis=1)
-            for at in range(0, len(asked), 256):
-                part = asked[at : at + 256]
-                rough = norms - 2 * part @ vectors.T  # squared distance less the query's norm
-                for row, query, q in zip(rough, part, visits.column("q").to_pylist()[at : at + 256]):
-                    near = np.arange(len(row))
-                    if len(row) > k + 1:  # the query's own entry may be among them
-                        edge = np.partition(row, k)[k]
-                        near = np.nonzero(row <= edge + 1e-9 * (1 + abs(edge)))[0]
-                    exact = distances(query, vectors[near])
-                    ranked = sorted((d, i) for d, e in zip(exact.tolist(), near) for i in ids[e] if i != q)
-                    for d, i in ranked[:k]:
-                        out_q.append(q)
-                        out_id.append(i)
-                        out_d.append(d)
+            found, first = np.unique(keys[order], return_index=True)
+            ends = np.append(first[1:], len(keys))
+            spans = {key: (a, b) for key, a, b in zip(found.tolist(), first.tolist(), ends.tolist())}
+            for q, raw, wanted in zip(*(visits.column(c).to_pylist() for c in ("q", "qvec", "keys"))):
+                parts = [np.arange(*spans[key]) for key in wanted if key in spans]
+                if not parts:
+                    continue
+                near = np.concatenate(parts)
+                query = np.frombuffer(raw, "<f8")
+                if len(near) > k + 1:  # the query's own entry may be among them
+                    rough = norms[near] - 2 * vectors[near] @ query  # squared distance less the query's norm
+                    edge = np.partition(rough, k)[k]
+                    near = near[rough <= edge + 1e-9 * (1 + abs(edge))]
+                exact = distances(query, vectors[near])
+                ranked = sorted((d, i) for d, e in zip(exact.tolist(), near) for i in ids[order[e]] if i != q)
+                for d, i in ranked[:k]:
+                    out_q.append(q)
+                    out_id.append(i)
+                    out_d.append(d)
         return pa.table(
             {
                 "q": pa.array(out_q, pa.int64()),
@@ -250,34 +269,38 @@ def search(
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], schema)
-    hashing = fit(np.array([r[0] for r in sample], dtype=np.float64), rows.count(), k, tables)
-    entries = written(_entries(rows, hashing, k), "ann-index")
-    visits = written(_visits(rows.where(queries), hashing), "ann-visits")
-    bucket = ["t", "key"]
+    total = rows.count()
+    groups = max(1, total // BLOCK_ROWS)
+    hashing = fit(np.array([r[0] for r in sample], dtype=np.float64), total, k, tables)
+    entries = written(_entries(rows, hashing, k, groups), "ann-index")
+    visits = written(_visits(rows.where(queries), hashing, groups), "ann-visits")
+    group = ["t", "g"]
     blocks = written(
-        entries.groupBy(bucket)
-        .agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("eb"))
-        .join(visits.groupBy(bucket).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("qb")), bucket),
+        entries.groupBy(group)
+        .agg(F.ceil(F.count("*") / (2 * BLOCK_ROWS)).cast("int").alias("eb"))
+        .join(
+            visits.groupBy(group).agg(F.ceil(F.count("*") / (2 * BLOCK_ROWS)).cast("int").alias("qb")), group
+        ),
         "ann-blocks",
     )
     here = (
-        entries.join(blocks, bucket)
+        entries.join(blocks, group)
         .withColumn("e", F.pmod(F.xxhash64("vec"), F.col("eb")).cast("int"))
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-        .select("t", "key", "e", "b", "ids", "vec")
+        .select("t", "g", "e", "b", "key", "ids", "vec")
     )
     asked = (
-        visits.join(blocks, bucket)
+        visits.join(blocks, group)
         .withColumn("b", F.pmod(F.xxhash64("q", "qvec"), F.col("qb")).cast("int"))
         .withColumn("e", F.explode(F.sequence(F.lit(0), F.col("eb") - 1)))
-        .select("t", "key", "e", "b", "q", "qvec")
+        .select("t", "g", "e", "b", "q", "qvec", "keys")
     )
     from pyspark.sql import Window
 
-    group = ["t", "key", "e", "b"]
+    block = ["t", "g", "e", "b"]
     met = (
-        here.groupBy(*group)
-        .cogroup(asked.groupBy(*group))
+        here.groupBy(*block)
+        .cogroup(asked.groupBy(*block))
         .applyInArrow(nearest_in_block(k), "q long, id long, distance double")
         .distinct()  # found in several tables
     )
