@@ -1,8 +1,8 @@
 """Registered queries by family, each with the SQL that states its result."""
 
-from . import catalog, retrieval, text
+from . import catalog, flows, retrieval, text
 
-FAMILIES = [retrieval, catalog, text]
+FAMILIES = [retrieval, catalog, text, flows]
 
 
 def queries() -> dict:
