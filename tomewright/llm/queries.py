@@ -54,7 +54,8 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from the labelled documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.fit(docs.join(labels, "doc_id").where(_remainder(5) != 0))
+    learned = _remainder(5) != 0
+    return toxicity.fit(docs.where(learned), labels.where(learned))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

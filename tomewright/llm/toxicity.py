@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, without
+from .common import col, fresh, without, written
 
 TRAIN_PER_CLASS = 4000
 MAX_FEATURES = 2000
-MIN_TEXTS = 4
+MIN_TEXTS = 8
 MIN_CHI2 = 25.0
 PREFIXES = range(4, 8)
 #: Features are made for these numbers of different words with one beginning.
@@ -124,48 +124,61 @@ def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def train(
-    texts: list[set[str]],
+def chi_square(a, b, positives, negatives):
+    """Of a feature in ``a`` of the positives and ``b`` of the negatives (numbers or columns)."""
+    p, q, m = a / positives, b / negatives, (a + b) / (positives + negatives)
+    return (p - q) * (p - q) / (m * (1 - m) * (1 / positives + 1 / negatives) + 1e-12)
+
+
+def train(texts: list[set[str]], labels: list[int], weights: list[float] | None = None, **options) -> Model:
+    """Fit on sets of words, all in memory (:func:`fit` does the same over a table)."""
+    sizes = (labels.count(0), labels.count(1))
+    seen = (Counter(), Counter())
+    for t, label in zip(texts, labels):
+        seen[label].update(bag_of(t))
+    gain = {}
+    if all(sizes):
+        for f in seen[0].keys() | seen[1].keys():
+            if seen[1][f] + seen[0][f] >= MIN_TEXTS:
+                gain[f] = chi_square(seen[1][f], seen[0][f], sizes[1], sizes[0])
+    best = sorted((f for f in gain if gain[f] >= MIN_CHI2), key=lambda f: (-gain[f], f))[:MAX_FEATURES]
+    return optimise(best, [example(t, set(best)) for t in texts], labels, weights, **options)
+
+
+def example(words: set[str], known: set[str]) -> tuple[list[str], list[list[str]]]:
+    """The known features of a text, and of each of its swaps."""
+    turns = max((len(SWAPS[x]) for x in words if x in SWAPS), default=0)
+    swaps = [sorted(bag_of(swapped(words, turn)) & known) for turn in range(turns)]
+    return sorted(bag_of(words) & known), swaps
+
+
+def optimise(
+    best: list[str],
+    examples: list[tuple[list[str], list[list[str]]]],
     labels: list[int],
     weights: list[float] | None = None,
     counterfactual: float = COUNTERFACTUAL,
     steps: int = 800,
 ) -> Model:
-    """Fit on sets of words. ``counterfactual`` is the weight of score changes under swaps."""
+    """Weights of the features ``best``. ``counterfactual`` weighs score changes under swaps."""
     y = np.array(labels, dtype=np.float64)
     w = np.ones(len(y)) if weights is None else np.array(weights, dtype=np.float64)
     share = float((w * y).sum() / w.sum()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model({}, 30.0 if share else -30.0)
-    bags = [bag_of(t) for t in texts]
-    seen = (Counter(), Counter())
-    for bag, label in zip(bags, labels):
-        seen[label].update(bag)
-    sizes = [labels.count(0), labels.count(1)]
-    gain = {}
-    for f in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][f], seen[0][f]
-        if a + b >= MIN_TEXTS:
-            p, q = a / sizes[1], b / sizes[0]
-            m = (a + b) / (sizes[0] + sizes[1])
-            chi2 = (p - q) ** 2 / (m * (1 - m) * (1 / sizes[0] + 1 / sizes[1]) + 1e-12)
-            if chi2 >= MIN_CHI2:
-                gain[f] = chi2
-    best = sorted(gain, key=lambda f: (-gain[f], f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(best)}
 
-    def rows(bag: set[str]) -> list[int]:
-        return sorted(index[f] for f in bag if f in index)
+    def rows(bag) -> list[int]:
+        return [index[f] for f in bag]
 
-    cols, at = _sparse([rows(b) for b in bags])
+    cols, at = _sparse([rows(bag) for bag, _ in examples])
     # every swap of a text that names a group: entries with +1 for the text, -1 for the swap
     plus, minus, pair_weight = [], [], []
-    for t, bag, wt in zip(texts, bags, w):
-        turns = max((len(SWAPS[x]) for x in t if x in SWAPS), default=0)
-        for turn in range(turns):
+    for (bag, swaps), wt in zip(examples, w):
+        for swap in swaps:
             plus.append(rows(bag))
-            minus.append(rows(bag_of(swapped(t, turn))))
-            pair_weight.append(wt / turns)
+            minus.append(rows(swap))
+            pair_weight.append(wt / len(swaps))
     pc, pr = _sparse(plus)
     mc, mr = _sparse(minus)
     pair_weight = np.array(pair_weight)
@@ -202,18 +215,22 @@ def train(
 
 
 def fit(
-    df: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
     per_class: int = TRAIN_PER_CLASS,
 ) -> Model:
-    """A model from labelled rows (label 1, or 0; rows with another label are left out).
+    """A model from texts and their labels (1, or 0; other labels are left out), joined by id.
 
-    The driver receives two counts and the distinct words of about ``2 * per_class``
-    texts, whatever the size of the input.
+    The sample is drawn from the labels, so it is bounded before it meets the texts: a
+    broadcast join of about ``2 * per_class`` ids, and the texts are not shuffled.
+    Features are counted on the executors. The driver receives two counts, the
+    ``MAX_FEATURES`` best features, and which of them about ``2 * per_class`` texts and
+    their swaps have, whatever the size of the input.
     """
-    labelled = df.where(col(label_col).isin(0, 1))
+    labelled = labels.where(col(label_col).isin(0, 1)).select(col(id_col), col(label_col))
     sizes = {int(k): n for k, n in labelled.groupBy(col(label_col)).count().collect()}
     rates = {k: min(1.0, per_class / n) for k, n in sizes.items()}
     draw = F.pmod(F.xxhash64(col(id_col).cast("string")), F.lit(1 << 53)) / float(1 << 53)
@@ -221,7 +238,7 @@ def fit(
     for k, rate in rates.items():
         drawn = drawn | ((col(label_col) == k) & (draw < rate))
 
-    def run(batches: Iterator) -> Iterator:
+    def words(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
@@ -230,13 +247,60 @@ def fit(
                 [batch.column(0), pa.array(bags, pa.list_(pa.string()))], names=["label", "words"]
             )
 
-    sampled = labelled.where(drawn).select(
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                seen = (Counter(), Counter())
+                for label, bag in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    seen[label].update(bag_of(set(bag)))
+                both = list(seen[0].keys() | seen[1].keys())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(both, pa.string()),
+                        pa.array([seen[1][f] for f in both], pa.int64()),
+                        pa.array([seen[0][f] for f in both], pa.int64()),
+                    ],
+                    names=["f", "a", "b"],
+                )
+
+    picked = docs.select(col(id_col), col(text_col)).join(F.broadcast(labelled.where(drawn)), id_col)
+    sampled = picked.select(
         col(label_col).cast("int").alias("label"), col(text_col).cast("string").alias("text")
     )
-    rows = sampled.mapInArrow(run, "label int, words array<string>").collect()
-    rows.sort(key=lambda r: (r["label"], r["words"]))  # tasks end in any order
-    labels = [r["label"] for r in rows]
-    return train([set(r["words"]) for r in rows], labels, [1 / rates[k] for k in labels])
+    sample = written(sampled.mapInArrow(words, "label int, words array<string>"), "toxicity-sample")
+    taken = dict(sample.groupBy("label").count().collect())
+    best: list[str] = []
+    if len(taken) == 2:
+        totals = sample.mapInArrow(count, "f string, a long, b long").groupBy("f").agg(
+            F.sum("a").alias("a"), F.sum("b").alias("b")
+        )
+        gain = chi_square(F.col("a"), F.col("b"), F.lit(float(taken[1])), F.lit(float(taken[0])))
+        ranked = totals.where(F.col("a") + F.col("b") >= MIN_TEXTS).withColumn("gain", gain)
+        top = ranked.where(F.col("gain") >= MIN_CHI2).orderBy(F.desc("gain"), "f").limit(MAX_FEATURES)
+        best = [r["f"] for r in top.select("f").collect()]
+    known = set(best)
+
+    def examples(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [example(set(bag), known) for bag in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([f for f, _ in found], pa.list_(pa.string())),
+                    pa.array([s for _, s in found], pa.list_(pa.list_(pa.string()))),
+                ],
+                names=["label", "bag", "swaps"],
+            )
+
+    schema = "label int, bag array<string>, swaps array<array<string>>"
+    rows = sorted(sample.mapInArrow(examples, schema).collect(), key=repr)  # tasks end in any order
+    truth = [r["label"] for r in rows]
+    return optimise(best, [(r["bag"], r["swaps"]) for r in rows], truth, [1 / rates[k] for k in truth])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
