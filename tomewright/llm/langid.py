@@ -228,9 +228,11 @@ class Tagger:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
         k = len(self.model.languages)
+        if not k:
+            return ["und"] * len(texts), [0.0] * len(texts)
         every_label, _, every_letter = self.label(texts)
         for text, labels, letters in zip(texts, every_label, every_letter):
-            if not k or text is None or not _LETTERS.search(text):
+            if text is None or not _LETTERS.search(text):
                 names.append("und")
                 scores.append(0.0)
                 continue
