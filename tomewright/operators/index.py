@@ -44,17 +44,51 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(posted: DataFrame, terms: list[str], entity_type: str) -> DataFrame:
+def store(entities: DataFrame, path: str, target: str = "term") -> None:
+    """Write the index of ``entities``: postings by type, dealt and sorted by term, and lengths.
+
+    Sorted files let a query's term predicate skip row groups; a term's postings lie in
+    one shuffle partition, a very frequent one as a run of rows, never as one value.
+    """
+    posted = postings(entities)
+    dealt = posted.repartition(target).sortWithinPartitions("entity_type", target)
+    dealt.write.mode("overwrite").partitionBy("entity_type").parquet(f"{path}/postings")
+    stored = load(entities.sparkSession, path)[0]
+    doc_stats(stored).write.mode("overwrite").partitionBy("entity_type").parquet(f"{path}/stats")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(postings, lengths) of a stored index."""
+    posted = spark.read.schema("entity_id long, term string, tf long, entity_type string").parquet(f"{path}/postings")
+    stats = spark.read.schema("entity_id long, len long, entity_type string")
+    return posted.select(*KEY, "term", "tf"), _if_there(stats, f"{path}/stats")
+
+
+def _if_there(reader, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return reader.parquet(path).select(*KEY, "len")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def bm25(posted: DataFrame, terms: list[str], entity_type: str, stats: DataFrame | None = None) -> DataFrame:
     """(entity_id, score, hits): BM25 over the distinct ``terms``; hits are the rarer terms met.
 
-    Only the query's terms are read from the postings (the predicate reaches a Parquet
+    ``stats`` are stored lengths; without them they are summed from the postings. Only the
+    query's terms are read from the postings (the predicate reaches a Parquet
     index); lengths are joined to the entities that match. The frequencies of the query's
     terms (one row a term) and the type's totals (one row) are broadcast: their sizes are
     bounded by the query.
     """
     wanted = sorted(set(terms))
     matched = posted.where(F.col("term").isin(wanted))
-    stats = doc_stats(posted.where(F.col("entity_type") == entity_type))
+    if stats is None:
+        stats = doc_stats(posted.where(F.col("entity_type") == entity_type))
+    stats = stats.where(F.col("entity_type") == entity_type)
     totals = corpus_stats(stats)
     found = (
         matched.where(F.col("entity_type") == entity_type)

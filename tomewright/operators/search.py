@@ -71,6 +71,7 @@ def search_all(
     starred_only: bool = False,
     allowed_files: DataFrame | None = None,
     vector_scores: DataFrame | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """(type, id, title, score): files by own and chunk BM25 plus boosts, notes by BM25 plus boosts.
 
@@ -78,8 +79,8 @@ def search_all(
     (id) restricts files. Ordered by score, newest first, type, id.
     """
     terms, toks = query_terms(q), py_tokens(q)
-    own = bm25(posted, toks, "file").select(F.col("entity_id").alias("id"), F.col("score").alias("own"))
-    rolled = chunk_rollup(bm25(posted, toks, "chunk"), chunks).select(
+    own = bm25(posted, toks, "file", stats).select(F.col("entity_id").alias("id"), F.col("score").alias("own"))
+    rolled = chunk_rollup(bm25(posted, toks, "chunk", stats), chunks).select(
         F.col("file_id").alias("id"), "chunk_score"
     )
     scores = own.join(rolled, "id", "full_outer")
@@ -109,7 +110,7 @@ def search_all(
         return df.select(F.lit(kind).alias("type"), "id", "title", "updated_at", score.alias("score"))
 
     of_files = items(found.join(scores, "id"), "file", 1.0)
-    note_scores = bm25(posted, toks, "note").select(
+    note_scores = bm25(posted, toks, "note", stats).select(
         F.col("entity_id").alias("id"), F.col("score").alias("base")
     )
     of_notes = items(
@@ -197,6 +198,7 @@ def retrieve(
     per_file: int = 4,
     workspaces: list[str] | None = None,
     file_ids: list[int] | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """(chunk_id, file_id, score, bm25, vec, rrf): reciprocal ranks fused, reranked, diverse.
 
@@ -213,7 +215,7 @@ def retrieve(
             (1.0 / (RRF + F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))).alias(f"{name}_rrf"),
         )
 
-    words = bm25(posted, toks, "chunk").select(F.col("entity_id").alias("chunk_id"), "score")
+    words = bm25(posted, toks, "chunk", stats).select(F.col("entity_id").alias("chunk_id"), "score")
     fused = ranked(words, "bm25")
     if vector_scores is not None:
         near = vector_scores.where(F.col("score") > 0.05).select("chunk_id", "score")

@@ -63,7 +63,8 @@ def think_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     """The retrieved contexts (eight at most) and the sentences that answer from them."""
-    found = S.retrieve(R.posted(spark, d), M.chunks(spark, d), M.files(spark, d), R.Q).join(
+    rows, lengths = R.stored(spark, d)
+    found = S.retrieve(rows, M.chunks(spark, d), M.files(spark, d), R.Q, stats=lengths).join(
         M.chunks(spark, d).select("chunk_id", "text"), "chunk_id"
     )
     rows = found.orderBy(F.desc("score"), "chunk_id").collect()  # top_k rows

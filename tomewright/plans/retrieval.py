@@ -10,6 +10,7 @@ from tomewright.functions import vector as V
 from tomewright.operators import index as I
 from tomewright.operators import search as S
 from tomewright.sources import model as M
+from tomewright.sources import storage
 
 Q = "Therhean ering stea license"
 TERMS = X.py_tokens(Q)
@@ -56,13 +57,41 @@ def bm25_sql(name: str, kind: str, terms: list[str]) -> str:
 )"""
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of all entities, built once an application and folder.
+
+    The index is a table in the shared folder: queries read the terms they ask for.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = storage.scratch(spark, "index")
+        I.store(M.entities(spark, d), path)
+        _STORED[key] = path
+    return I.load(spark, _STORED[key])
+
+
 def posted(spark: SparkSession, d: str) -> DataFrame:
-    return I.postings(M.entities(spark, d))
+    return stored(spark, d)[0]
+
+
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Build and store the whole index, then count its rows by type."""
+    path = storage.scratch(spark, "index")
+    I.store(M.entities(spark, d), path)
+    return I.load(spark, path)[0].groupBy("entity_type").agg(F.count("*").alias("n"), F.sum("tf").alias("tokens"))
+
+
+def _args(spark: SparkSession, d: str, kind: str) -> tuple:
+    rows, lengths = stored(spark, d)
+    return rows, TERMS, kind, lengths
 
 
 def _bm25(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = I.bm25(posted(spark, d), TERMS, kind)
+        found = I.bm25(*_args(spark, d, kind))
         return found.select("entity_id", F.round("score", 6).alias("score"), F.array_join("hits", ",").alias("hits"))
 
     return run
@@ -77,7 +106,7 @@ def _bm25_oracle(kind: str) -> str:
 
 def bm25_files(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: the twenty best documents of a keyword query, with highlighted snippets."""
-    found = I.bm25(posted(spark, d), TERMS, "file")
+    found = I.bm25(*_args(spark, d, "file"))
     best = found.orderBy(F.desc(F.round("score", 6)), "entity_id").limit(20)
     docs = M.files(spark, d).select(F.col("id").alias("entity_id"), "title", "text")
     terms = X.query_terms(Q)
@@ -90,7 +119,7 @@ def bm25_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_chunks_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rolled = S.chunk_rollup(I.bm25(posted(spark, d), TERMS, "chunk"), M.chunks(spark, d))
+    rolled = S.chunk_rollup(I.bm25(*_args(spark, d, "chunk")), M.chunks(spark, d))
     return rolled.select(
         "file_id", F.round("chunk_score", 6).alias("chunk_score"), "best_chunk", F.array_join("top_chunks", ",").alias("top_chunks")
     )
@@ -101,11 +130,11 @@ def term_df_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
-    return I.doc_stats(posted(spark, d))
+    return stored(spark, d)[1]
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = I.corpus_stats(I.doc_stats(posted(spark, d)))
+    out = I.corpus_stats(stored(spark, d)[1])
     return out.select("entity_type", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -142,8 +171,9 @@ def _hybrid(**kw):
         extra = dict(kw)
         if extra.pop("acl", False):
             extra["allowed_files"] = M.files(spark, d).where(~F.col("private")).select("id")
+        rows, lengths = stored(spark, d)
         found = S.search_all(
-            posted(spark, d), M.files(spark, d), M.notes(spark, d), M.chunks(spark, d), Q, M.AS_OF, **extra
+            rows, M.files(spark, d), M.notes(spark, d), M.chunks(spark, d), Q, M.AS_OF, stats=lengths, **extra
         )
         return found.limit(50)
 
@@ -199,7 +229,10 @@ def chunk_vector_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    return S.retrieve(posted(spark, d), M.chunks(spark, d), M.files(spark, d), Q, chunk_vector_scores(spark, d), top_k=20)
+    rows, lengths = stored(spark, d)
+    return S.retrieve(
+        rows, M.chunks(spark, d), M.files(spark, d), Q, chunk_vector_scores(spark, d), top_k=20, stats=lengths
+    )
 
 
 _HITS_SQL = " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in sorted(set(TERMS)))
@@ -328,6 +361,7 @@ def anchor_filter(spark: SparkSession, d: str) -> DataFrame:
 _DOT_XY = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 
 QUERIES = {
+    "index_build": index_build,
     "bm25_files": bm25_files,
     "bm25_file_scores": _bm25("file"),
     "bm25_note_scores": _bm25("note"),
@@ -362,6 +396,7 @@ _SNIPPET_AT = "list_min(list_filter([" + ", ".join(
 ) + "], lambda x: x[1] > 0))"
 
 ORACLE_SQL = {
+    "index_build": f"WITH {INDEX_SQL} SELECT entity_type, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tokens FROM posted GROUP BY entity_type",
     "bm25_files": f"""WITH {INDEX_SQL}{bm25_sql("b", "file", TERMS)}, best AS (
   SELECT entity_id, round(score, 6) AS score FROM b ORDER BY round(b.score, 6) DESC, entity_id LIMIT 20
 ), s AS (SELECT entity_id, title, score, text, {_SNIPPET_AT} AS m FROM best JOIN files ON id = entity_id
