@@ -341,3 +341,38 @@ def test_token_counts(spark, odd, empty):
     assert tokencount.count_tokens(empty, cache).count() == 0
 
 
+
+
+def jaccard(a, b):
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("cap", [64, 2])
+def test_near_copies(spark, cap, monkeypatch):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for g in range(30):
+        words = rng.choice(vocabulary, 200).tolist()
+        texts[g * 100] = " ".join(words)
+        for c in range(1, 6):
+            copy = list(words)
+            for at in rng.choice(200, [0, 1, 2, 40, 100][c - 1], replace=False):
+                copy[at] = "new"
+            texts[g * 100 + c] = " ".join(copy).upper() if c == 1 else " ".join(copy)
+    rows = [(i, t) for i, t in texts.items()] + [(5000, None), (5001, ""), (5002, "tiny text"), (5003, "Tiny  TEXT")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (simhash.NEAR_RADIUS, simhash.NEAR_SIMILARITY, cap))
+    got = dict(simhash.near_components(df).collect())
+    for g in range(30):
+        for c in range(1, 6):
+            a, b = g * 100, g * 100 + c
+            near = jaccard(texts[a], texts[b])
+            assert (got[b] == got[a]) == (near >= 0.8) or 0.74 <= near <= 0.86, (near, c)
+    assert got[5001] == 5000 and got[5003] == 5002 and got[0] == 0
+    assert len({got[g * 100] for g in range(30)}) == 30
