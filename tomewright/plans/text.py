@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tomewright.functions import format as D
 from tomewright.functions import text as X
 from tomewright.operators import nlp
 from tomewright.plans.retrieval import tokens_sql
@@ -131,9 +132,34 @@ def document_outline(spark: SparkSession, d: str) -> DataFrame:
     return nlp.outlines(T(spark, d, "benchmark"), "item_id", "text")
 
 
+def display_events(spark: SparkSession, d: str) -> DataFrame:
+    events = T(spark, d, "events")
+    ago = D.time_ago(F.col("ts") - F.expr("make_dt_interval(CAST(event_id % 500 AS INT))"), F.lit("2024-01-31").cast("timestamp"))
+    return events.select("event_id", ago.alias("ago"), D.duration(F.col("event_id") * 100 + 37).alias("took"))
+
+
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "customer").select(
+        "c_custkey", D.color(F.col("c_name")).alias("color"), D.initials(F.col("c_name")).alias("initials")
+    )
+
+
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "documents").select("doc_id", D.excerpt(F.col("text")).alias("excerpt"))
+
+
+def address_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of generated IPv4 addresses, counted."""
+    n = F.col("o_orderkey") * 2_654_435_761 % 4_294_967_296
+    parts = [(F.shiftright(n, k) % 256).cast("string") for k in (24, 16, 8, 0)]
+    classes = T(spark, d, "orders").select(D.address_class(F.concat_ws(".", *parts)).alias("class"))
+    return classes.groupBy("class").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        display_events, display_names, excerpts, address_classes,
         normalize_ws, html_to_text, html_title, markdown_to_text, split_sentences, word_count_reading, truncate_slug,
         escape_html, preview_kinds, format_bytes, normalize_tags, file_names, think_strip, json_props, prompt_blocks,
         citations_numbered, sse_frames, tf_idf_terms, document_chunks, textrank_summary, document_outline,
@@ -161,6 +187,22 @@ _SENT = (
 _KINDS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.PREVIEW_KINDS.items())
 
 ORACLE_SQL = {
+    "display_events": f"""WITH e AS (SELECT event_id, event_id * 100 + 37 AS ms, epoch_us(TIMESTAMP '2024-01-31') / 1e6 - epoch_us(ts - to_days(CAST(event_id % 500 AS INT))) / 1e6 AS s FROM events)
+SELECT event_id, CASE WHEN s < 60 THEN '{D.JUST_NOW}' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || ' 分钟前' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || ' 小时前'
+  WHEN s < 172800 THEN '{D.YESTERDAY}' WHEN s < 2592000 THEN CAST(floor(s / 86400) AS BIGINT) || ' 天前' WHEN s < 31536000 THEN CAST(floor(s / 2592000) AS BIGINT) || ' 个月前'
+  ELSE CAST(floor(s / 31536000) AS BIGINT) || ' 年前' END AS ago,
+  CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 60000 THEN printf('%.1f', ms / 1000) || ' s'
+  ELSE CAST(floor(ms / 60000) AS BIGINT) || ' 分 ' || CAST(floor(ms % 60000 / 1000 + 0.5) AS BIGINT) || ' 秒' END AS took FROM e""",
+    "display_names": f"""WITH h AS (SELECT c_custkey, c_name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(c_name, ''), lambda c: CAST(unicode(c) AS BIGINT))),
+  lambda a, c: (a * 31 + c) & 4294967295) AS h, list_filter(regexp_split_to_array(trim(c_name), '[\\s._-]+'), lambda p: p <> '') AS p FROM customer)
+SELECT c_custkey, {list(D.PALETTE)}[CAST(h % 10 AS INT) + 1] AS color, CASE WHEN len(p) >= 2 THEN upper(p[1][1] || p[2][1]) ELSE upper(substr(trim(c_name), 1, 2)) END AS initials FROM h""",
+    "excerpts": """WITH e AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) <= 110 THEN s ELSE substr(s, 1, 109) || '…' END AS excerpt FROM e""",
+    "address_classes": """WITH n AS (SELECT o_orderkey * 2654435761 % 4294967296 AS v FROM orders)
+SELECT CASE WHEN v = 0 THEN 'unspecified' WHEN v >> 24 = 127 THEN 'loopback' WHEN v >> 16 = 169 * 256 + 254 THEN 'link-local'
+  WHEN v >> 24 = 10 OR v >> 20 = 172 * 16 + 1 OR v >> 16 = 192 * 256 + 168 THEN 'private' WHEN v >> 22 = 100 * 4 + 1 THEN 'shared'
+  WHEN v >> 17 = (198 * 256 + 18) / 2 THEN 'benchmark' WHEN v >> 28 = 14 THEN 'multicast' WHEN v >> 28 = 15 THEN 'reserved' ELSE 'public' END AS class, count(*) AS n
+FROM n GROUP BY 1""",
     "normalize_ws": f"SELECT doc_id, md5({_NWS.format(t='text')}) AS digest, length({_NWS.format(t='text')}) AS n FROM documents",
     "html_to_text": f"SELECT page_id, md5({_NWS.format(t=_ENT)}) AS digest, length({_NWS.format(t=_ENT)}) AS n FROM pages",
     "html_title": "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages",
