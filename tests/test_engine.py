@@ -117,3 +117,44 @@ def test_kmeans():
     v = np.array([[1, 0], [0.9, 0.1], [0, 1], [0.1, 0.9]])
     labels = nlp.kmeans(v, 2)
     assert labels[0] == labels[1] != labels[2] == labels[3] and nlp.kmeans(v[:0], 3) == []
+
+
+def test_embedding_and_its_fallback(spark):
+    from tomewright.functions import vector as V
+
+    df = spark.createDataFrame([(1, "alpha beta alpha 知识库"), (2, ""), (3, None)], "id long, text string")
+    dense = {r["id"]: r for r in V.embed(df, "id", "text").collect()}
+    sparse = {}
+    for r in V.hash_features(df, "id", "text").collect():
+        sparse.setdefault(r["id"], {})[r["idx"]] = r["w"]
+    for i in (1, 2, 3):
+        assert dense[i]["model"] == V.LOCAL_MODEL and dense[i]["dim"] == 512
+        assert all(abs(x - sparse.get(i, {}).get(k, 0.0)) < 1e-6 for k, x in enumerate(dense[i]["vector"]))
+
+    def remote(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def broken(texts):
+        raise OSError
+
+    assert {r["model"] for r in V.embed(df, "id", "text", remote, "far").collect()} == {"far"}
+    assert {r["model"] for r in V.embed(df, "id", "text", broken, "far").collect()} == {V.LOCAL_MODEL}
+
+
+def test_ask(spark):
+    from tomewright.operators.ask import ask
+
+    ctx = spark.createDataFrame(
+        [(1, "A", "The engine ranks documents well.", 2.0), (2, "B", "Tea is nice to drink.", 1.0)], "id long, title string, text string, score double"
+    )
+    out = ask("engine ranks", ctx)
+    assert out["source"] == "extracted" and out["answer"].startswith("The engine") and out["citations"][0]["index"] == 1
+    seen = []
+    assert ask("q", ctx, [{"role": "user", "text": "old"}], lambda m: seen.append(m) or "made")["source"] == "generated"
+    assert seen[0][0]["content"].startswith("[1] A\n") and [m["role"] for m in seen[0]] == ["system", "user", "user"]
+
+    def fails(_):
+        raise OSError
+
+    assert ask("engine", ctx, generate=fails)["source"] == "extracted"
+    assert ask("x", ctx.limit(0))["source"] == "none"
