@@ -44,7 +44,8 @@ def all_tokens(text: Column) -> Column:
             F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2))),
         ).otherwise(F.array(r)),
     )
-    return F.flatten(pairs)
+    # most texts have no CJK character, and then the runs are the tokens
+    return F.when(empty(text).rlike(f"[{CJK}]"), F.flatten(pairs)).otherwise(runs)
 
 
 def tokens(text: Column) -> Column:
