@@ -17,7 +17,7 @@ import re
 from functools import lru_cache
 
 #: Pieces kept in a worker's memo (about 200 bytes each) and the longest piece kept.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
 MEMO_PIECE_CHARS = 48
 
 # Letters, digits and white space among the first 256 code points.

@@ -41,7 +41,7 @@ PREFIXES = range(4, 8)
 REPEATS = (2, 3)
 L2 = 1e-4
 COUNTERFACTUAL = 4.0
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 #: Identity terms by kind; a term is swapped for the others of its line.
 IDENTITY = (
