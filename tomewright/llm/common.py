@@ -44,16 +44,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the scratch table behind ``df`` (a result of :func:`written`) early."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(parent, True)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (Spark compares them without case)."""
     taken = {c.lower() for c in df.columns}
