@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import col, fresh, without
+from .common import col, fresh, without, written
 from .tokens import encoder, vocabulary_path
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -84,7 +84,8 @@ def count_tokens(
         texts = texts.join(stored, "digest", "left_anti")
     misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
     _encode_misses(misses, path, version).write.mode("append").parquet(cache)
-    counts = _stored(spark, cache, version).select(col("digest").alias(digest), "n_tokens")
+    # a table of its own, so that the join's two sides are plain exchanges, which can be split
+    counts = written(_stored(spark, cache, version), "token-counts").select(col("digest").alias(digest), "n_tokens")
     gone = ["n_bytes", "n_tokens"] + ([] if keep_text else [text_col])
     keep = without(df, *gone)
     rows = df.select(*keep, F.octet_length(content).cast("long").alias("n_bytes"), key.alias(digest))
