@@ -1,5 +1,9 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
+:func:`components` links fingerprints of 3-word shingles at two bits;
+:func:`near_components` finds candidates in the same way on fingerprints of distinct words
+at seven bits, and checks the similarity of their five-word shingles.
+
 Fingerprints: 64 bits of 3-word shingles, a bit being set if it is set in over half the
 shingles' XXH64 values. Two fingerprints link at ``radius`` differing bits or fewer.
 
@@ -15,7 +19,7 @@ that value in an equi-join that verifies the distance.
 A partition value that more than ``bucket_cap`` fingerprints share is not joined; the
 fingerprints in it or probing it go another exact way, whose size is linear: each is
 written under itself and its 64 one-bit neighbours, and those under one key (65 at most)
-are within two bits of one another. That way needs ``radius`` <= 2.
+are within two bits of one another. That way is for a radius of two; near copies have another, block by block.
 
 Only distinct fingerprints are searched, so copies cost nothing, and components come
 from alternating large-star and small-star rounds over the links, each round a table in
@@ -380,7 +384,7 @@ def components(
 NEAR_RADIUS = 7
 NEAR_SHINGLE_WORDS = 5
 NEAR_SIMILARITY = 0.8
-NEAR_CAP = 64
+NEAR_CAP = 16
 SKETCH_BINS = 256
 BLOCK = 2048
 
