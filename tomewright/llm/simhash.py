@@ -384,7 +384,7 @@ def components(
 NEAR_RADIUS = 7
 NEAR_SHINGLE_WORDS = 5
 NEAR_SIMILARITY = 0.8
-NEAR_CAP = 16
+NEAR_CAP = 64
 SKETCH_BINS = 256
 BLOCK = 2048
 
