@@ -376,3 +376,36 @@ def test_near_copies(spark, cap, monkeypatch):
             assert (got[b] == got[a]) == (near >= 0.8) or 0.74 <= near <= 0.86, (near, c)
     assert got[5001] == 5000 and got[5003] == 5002 and got[0] == 0
     assert len({got[g * 100] for g in range(30)}) == 30
+
+
+def edited(words, kind, similarity, rng):
+    """A copy whose five-word shingles have about that similarity to those of the words."""
+    n, new = len(words), lambda k: [f"n{i}" for i in rng.integers(0, 10**9, k)]
+    if kind == "append":
+        return words + new(int(n * (1 / similarity - 1)))
+    if kind == "cut":
+        return words[: int(n * similarity) + 1]
+    if kind == "insert":
+        at = int(rng.integers(20, n - 20))
+        return words[:at] + new(max(1, int(n * (1 / similarity - 1)) - 8)) + words[at:]
+    copy = list(words)
+    for at in rng.choice(n // 10, int(n * (1 - similarity) / (1 + similarity) / 5), replace=False):
+        copy[10 * at + 5] = new(1)[0]
+    return copy
+
+
+def test_near_copies_of_every_edit(spark):
+    rng = np.random.default_rng(11)
+    texts, kinds = {}, ("append", "cut", "insert", "substitute")
+    for g in range(40):
+        words = [f"w{i}" for i in rng.integers(0, 3000, 400)]
+        for c, kind in enumerate(("", *kinds)):
+            similarity = float(rng.uniform(0.89, 0.93))
+            texts[g * 10 + c] = " ".join(edited(words, kind, similarity, rng) if kind else words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for c, kind in enumerate(kinds, 1):
+        got = dict(simhash.near_components(df.where(F.col("doc_id") % 10 == 0).union(df.where(F.col("doc_id") % 10 == c))).collect())
+        true = [jaccard(texts[g * 10], texts[g * 10 + c]) for g in range(40)]
+        assert all(0.86 <= x <= 0.96 for x in true), (kind, true)
+        assert all(got[g * 10 + c] == g * 10 for g in range(40)), kind
+        assert len(set(got.values())) == 40

@@ -1,8 +1,8 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 :func:`components` links fingerprints of 3-word shingles at two bits;
-:func:`near_components` finds candidates in the same way on fingerprints of distinct words
-at seven bits, and checks the similarity of their five-word shingles.
+:func:`near_components` meets texts that share a band of least hashes of their five-word
+shingles, and checks the similarity of these.
 
 Fingerprints: 64 bits of 3-word shingles, a bit being set if it is set in over half the
 shingles' XXH64 values. Two fingerprints link at ``radius`` differing bits or fewer.
@@ -19,7 +19,7 @@ that value in an equi-join that verifies the distance.
 A partition value that more than ``bucket_cap`` fingerprints share is not joined; the
 fingerprints in it or probing it go another exact way, whose size is linear: each is
 written under itself and its 64 one-bit neighbours, and those under one key (65 at most)
-are within two bits of one another. That way is for a radius of two; near copies have another, block by block.
+are within two bits of one another. That way is for a radius of two.
 
 Only distinct fingerprints are searched, so copies cost nothing, and components come
 from alternating large-star and small-star rounds over the links, each round a table in
@@ -378,24 +378,42 @@ def components(
     return rows.join(of_print, fp).select(*keep, col(fp).alias(fingerprint_col), col(component_col))
 
 
-# Near copies: the same search on fingerprints of the words themselves, then a check of
-# the similarity of five-word shingles.
+# Near copies: texts that share a band of least hashes of their five-word shingles meet, and
+# the similarity of their shingles is checked.
 
+#: Of the search by fingerprints that the bands replaced; only named by callers of old.
 NEAR_RADIUS = 7
 NEAR_SHINGLE_WORDS = 5
 NEAR_SIMILARITY = 0.8
-NEAR_CAP = 64
+#: Texts of similarity s share no band with probability (1 - s**BAND_ROWS)**BANDS, whatever
+#: the edits that made them differ: 6e-5 at 0.8, 7e-8 at 0.85.
+BANDS = 32
+BAND_ROWS = 6
 SKETCH_BINS = 256
 BLOCK = 2048
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), dtype=np.uint32)
 
 
-def near_features(text: bytes | None) -> tuple[int, int, bytes]:
-    """(text class, fingerprint, sketch) of a UTF-8 text.
+def band_values(hashes: np.ndarray) -> np.ndarray:
+    """[BANDS] signed longs: each mixes the least values of BAND_ROWS random orders of the hashes."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(short), 1024):
+        least = np.minimum(least, (short[None, at : at + 1024] * (_FACTORS[0] | np.uint32(1)) ^ _FACTORS[1]).min(axis=1))
+    out = np.full(BANDS, 0xCBF29CE484222325, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
-    The class is the XXH64 of the lower-cased words, the fingerprint a SimHash of the
-    distinct words (a changed word moves it less than the shingles it is in would), the
-    sketch a one-permutation hashing of the distinct five-word shingles: the least hash of
-    each of ``SKETCH_BINS`` bins, 16 bits of it; 65535 for an empty bin.
+
+def near_features(text: bytes | None) -> tuple[int, np.ndarray, bytes]:
+    """(text class, bands, sketch) of a UTF-8 text.
+
+    The class is the XXH64 of the lower-cased words, the bands are those of
+    :func:`band_values` over the five-word shingles, the sketch a one-permutation hashing of
+    the distinct shingles: the least hash of each of ``SKETCH_BINS`` bins, 16 bits of it;
+    65535 for an empty bin.
     """
     import xxhash
 
@@ -403,20 +421,24 @@ def near_features(text: bytes | None) -> tuple[int, int, bytes]:
     words = text.lower().split() if text else []
     whole = digest(b" ".join(words), SEED)
     if not words:
-        return whole, 0, b"\xff\xff" * SKETCH_BINS
-    distinct = np.array([digest(w, SEED) for w in set(words)], dtype="<u8")
-    ones = np.unpackbits(distinct.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.packbits(2 * ones.sum(axis=0, dtype=np.int64) > len(distinct), bitorder="little")
-    k = NEAR_SHINGLE_WORDS
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-    hashes = np.array([digest(x, SEED) for x in shingles], dtype=np.uint64)
+        return whole, band_values(np.array([whole], dtype=np.uint64)), b"\xff\xff" * SKETCH_BINS
+    hashes = shingle_hashes(words)
     width = np.uint64(SKETCH_BINS.bit_length() - 1)
     ordered = np.sort((hashes << (np.uint64(64) - width)) | (hashes >> width))  # by bin, then by the rest
     bins = (ordered >> (np.uint64(64) - width)).astype(np.int64)
     first = np.concatenate([[True], bins[1:] != bins[:-1]])
     sketch = np.full(SKETCH_BINS, 0xFFFF, dtype="<u2")
     sketch[bins[first]] = (ordered[first] % np.uint64(0xFFFF)).astype(np.uint16)
-    return whole, int(bits.view("<u8")[0]), sketch.tobytes()
+    return whole, band_values(hashes), sketch.tobytes()
+
+
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The XXH64 of every five-word shingle, or of all words if they are fewer."""
+    import xxhash
+
+    k = NEAR_SHINGLE_WORDS
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], dtype=np.uint64)
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -427,104 +449,70 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(filled > 0, equal / np.maximum(1, filled), 1.0)
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As few of the pairs as connect what they connect."""
-    parent: dict[int, int] = {}
+def _sketches(raw) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, SKETCH_BINS)
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    out = []
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            parent[x] = y
-            out.append((a, b))
+def _reached(sketches: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows of that similarity, as few as connect what all such pairs connect."""
+    out, left = [], np.arange(len(sketches))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            alike = sketch_similarity(sketches[left], sketches[x]) >= similarity
+            met = left[alike].tolist()
+            out += [(x, y) for y in met]
+            queue += met
+            left = left[~alike]
     return out
 
 
-def _sketches(raw) -> np.ndarray:
-    return np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, SKETCH_BINS)
+def near_links(nodes: DataFrame, similarity: float = NEAR_SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b): as many links between text classes (node, bands, sketch) as connect what all do.
 
-
-def near_links(
-    nodes: DataFrame, radius: int = NEAR_RADIUS, similarity: float = NEAR_SIMILARITY, cap: int = NEAR_CAP
-) -> DataFrame:
-    """(a, b): links between text classes (node, fp, sketch), or as many as connect them.
-
-    Pairs from values within the cap are joined and checked one by one. A value over the
-    cap is met block by block in memory, and a block gives a spanning forest of its links.
+    Classes with the same value of a band meet in memory, and no pair is a row before it is
+    a link. Bands of up to ``block`` classes are dealt to groups of about that many rows; a
+    larger one is cut in parts, and each two of its parts meet.
     """
-    spark = nodes.sparkSession
-    found = _search(nodes, radius, cap)
-    if found is None:
-        return spark.createDataFrame([], "a long, b long")
-    probes, index, heavy = found
-    probes = written(probes, "near-probes")
-    crowded = not heavy.isEmpty()
-    light_probes = probes.join(heavy, KEY, "left_anti") if crowded else probes
-    light_index = index.join(heavy, KEY, "left_anti") if crowded else index
-    pairs = written(_met(light_probes, light_index, radius).distinct(), "near-pairs")
-    sketch = nodes.select("node", "sketch")
-
-    def check(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                alike = sketch_similarity(_sketches(batch.column(2)), _sketches(batch.column(3))) >= similarity
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).filter(pa.array(alike)), batch.column(1).filter(pa.array(alike))],
-                    names=["a", "b"],
-                )
-
-    both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    light = both.mapInArrow(check, "a long, b long")
-    if not crowded:
-        return light
-    held = index.join(heavy, KEY).join(sketch.toDF("b", "sketch"), "b")
-    sizes = written(held.groupBy(KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "near-sizes")
-    visits = probes.join(heavy, KEY).join(sketch.toDF("a", "sketch"), "a")
-    blocks = written(
-        sizes.join(visits.groupBy(KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("na")), KEY), "near-blocks"
-    )
-    part = [*KEY, "i", "j"]
-    mine = (
-        held.join(blocks, KEY)
-        .withColumn("j", F.pmod(F.xxhash64("b"), "nb").cast("int"))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-        .select(*part, F.col("b").alias("node"), F.col("fb").alias("fp"), "sketch")
-    )
-    theirs = (
-        visits.join(blocks, KEY)
-        .withColumn("i", F.pmod(F.xxhash64("a"), "na").cast("int"))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(*part, F.col("a").alias("node"), F.col("fa").alias("fp"), "sketch")
+    bands = nodes.select("node", F.posexplode("bands").alias("part", "value"))
+    shared = written(bands.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1"), "near-bands")
+    total = shared.agg(F.sum("n")).first()[0]
+    if total is None:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    groups = max(1, total // block)
+    parts = F.ceil(F.col("n") / block).cast("int")
+    whole = F.col("parts") == 1
+    members = (
+        bands.join(shared.withColumn("parts", parts), KEY)
+        .withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .where(whole | (F.col("mine") != F.col("other")))
+        .select(
+            F.when(whole, F.pmod(F.xxhash64(*KEY), F.lit(groups))).otherwise(F.xxhash64(*KEY)).alias("g"),
+            F.least("mine", "other").alias("i"),
+            F.greatest("mine", "other").alias("j"),
+            *KEY,
+            "node",
+        )
+        .join(nodes.select("node", "sketch"), "node")
     )
 
-    def block(entries, visitors):
+    def meet(rows):
         import pyarrow as pa
 
-        out: list[tuple[int, int]] = []
-        if entries.num_rows and visitors.num_rows:
-            b, fb, sb = (entries.column(c) for c in ("node", "fp", "sketch"))
-            a, fa, sa = (visitors.column(c) for c in ("node", "fp", "sketch"))
-            b, fb, sb = b.to_numpy(), fb.to_numpy().view(np.uint64), _sketches(sb)
-            a, fa, sa = a.to_numpy(), fa.to_numpy().view(np.uint64), _sketches(sa)
-            for x in range(len(a)):
-                near = np.nonzero((np.bitwise_count(fb ^ fa[x]) <= radius) & (b != a[x]))[0]
-                near = near[sketch_similarity(sb[near], sa[x]) >= similarity]
-                out += [(int(a[x]), int(y)) for y in b[near]]
-                if len(out) > 1 << 16:
-                    out = _forest(out)
-            out = _forest(out)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    crowd = mine.groupBy(*part).cogroup(theirs.groupBy(*part)).applyInArrow(block, "a long, b long")
-    return light.union(crowd)
+        rows = rows.sort_by([("part", "ascending"), ("value", "ascending")])
+        part, value, node = (rows.column(c).to_numpy() for c in (*KEY, "node"))
+        sketches = _sketches(rows.column("sketch"))
+        edges = np.nonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1]))[0] + 1
+        a, b = [], []
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(node)]):
+            for x, y in _reached(sketches[start:end], similarity):
+                a.append(node[start + x])
+                b.append(node[start + y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return members.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_components(
@@ -532,15 +520,18 @@ def near_components(
 ) -> DataFrame:
     """``df``'s columns but the text, and the id of the group of near copies.
 
-    Texts link if the fingerprints of their distinct words differ in ``NEAR_RADIUS`` bits or
-    fewer and the similarity of their five-word shingles is ``NEAR_SIMILARITY`` or more (as
-    estimated from ``SKETCH_BINS`` bins: a standard error of 0.025 at 0.8, none for texts of
+    Texts link if they share one of ``BANDS`` bands and the similarity of their five-word
+    shingles is ``NEAR_SIMILARITY`` or more (as estimated from ``SKETCH_BINS`` bins: a standard error of 0.025 at 0.8, none for texts of
     a few shingles). Texts that differ only in the case of A-Z and in white space are equal.
     """
     keep = without(df, component_col, text_col)
     rest = df.select(*keep)
-    node, fp, sketch = (fresh(df, x) for x in ("_n_node", "_n_fp", "_n_sketch"))
-    added = [T.StructField(node, T.LongType()), T.StructField(fp, T.LongType()), T.StructField(sketch, T.BinaryType())]
+    node, bands, sketch = (fresh(df, x) for x in ("_n_node", "_n_bands", "_n_sketch"))
+    added = [
+        T.StructField(node, T.LongType()),
+        T.StructField(bands, T.ArrayType(T.LongType())),
+        T.StructField(sketch, T.BinaryType()),
+    ]
     schema = T.StructType([*rest.schema.fields, *added])
 
     def run(batches: Iterator) -> Iterator:
@@ -548,15 +539,16 @@ def near_components(
 
         for batch in batches:
             found = [near_features(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            longs = [np.array([f[i] for f in found], dtype=np.uint64).view(np.int64) for i in (0, 1)]
-            columns = [*batch.columns[:-1], pa.array(longs[0]), pa.array(longs[1]), pa.array([f[2] for f in found], pa.binary())]
+            classes = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64)
+            values = pa.array([f[1] for f in found], pa.list_(pa.int64()))
+            columns = [*batch.columns[:-1], pa.array(classes), values, pa.array([f[2] for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     text = col(text_col).cast("string").cast("binary").alias(fresh(rest, "_n_text"))
     rows = written(df.select(*keep, text).mapInArrow(run, schema), "near-rows")
     nodes = written(
         rows.groupBy(col(node).alias("node")).agg(
-            F.min(col(id_col)).alias("least"), F.first(col(fp)).alias("fp"), F.first(col(sketch)).alias("sketch")
+            F.min(col(id_col)).alias("least"), F.first(col(bands)).alias("bands"), F.first(col(sketch)).alias("sketch")
         ),
         "near-nodes",
     )
