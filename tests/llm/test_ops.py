@@ -126,6 +126,35 @@ def test_nearest(spark):
     assert ann.search(df.where("vec_id in (3, 4)"), F.lit(True)).count() == 2
 
 
+def test_fitted_recall_holds_for_large_tables():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4096, 64))
+    v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
+    for total in (20_000, 15_000_000):
+        hashing = ann.fit(v, total)
+        tables = range(len(hashing.planes))
+        keys = [hashing.keys(np.floor(hashing.places(v, t)).astype(np.int64)) for t in tables]
+        hits = 0
+        for i in range(0, 4096, 64):
+            near = np.argsort(ann.distances(v[i], v))[1:11]
+            got = np.zeros(10, dtype=bool)
+            for t in tables:
+                cells = hashing.visits(hashing.places(v[i][None], t)[0], hashing.probes)
+                got |= np.isin(keys[t][near], hashing.keys(cells))
+            hits += got.sum()
+        assert hits / 640 >= ann.TARGET_RECALL, (total, hashing.planes.shape, hits / 640)
+
+
+def test_nearest_is_exact_if_no_probes_suffice(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_PROBES", 1)
+    v = np.random.default_rng(2).normal(size=(300, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") < 20).collect()
+    for q in range(20):
+        want = [i for _, i in sorted((x, i) for i, x in enumerate(ann.distances(v[q], v).tolist()) if i != q)[:10]]
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def brute_print(text):
     import xxhash
 

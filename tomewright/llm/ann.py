@@ -2,7 +2,7 @@
 
 Every vector gets a bucket in each of ``TABLES`` tables: floor((a.v + b) / w) for K
 normal projections a. A query visits, in each table, its own bucket and then perturbed
-ones in the order of estimated success: perturbations add or take 1 at some projections,
+ones in the order of estimated success: perturbations add or take up to ``STEPS`` at some projections,
 score the sum of squared distances from the query to the bucket borders crossed, and come
 off a heap that shifts and expands them. The candidates of all tables are merged and
 ranked by exact distance.
@@ -10,7 +10,9 @@ ranked by exact distance.
 K follows from the number of vectors (about ``BUCKET_ROWS`` a bucket); w and the number of
 probes are fitted on a bounded sample (``SAMPLE`` vectors, by hash of the id), where
 recall against brute force must reach ``TARGET_RECALL``. A sample is sparser than the
-table, so its neighbours are further away and the fit errs to more probes.
+table, so its neighbours are further away and the fit errs to more probes. Where
+``MAX_PROBES`` do not reach it, K is lowered until they do; at K = 0 all vectors are one
+bucket, and the search is exact.
 
 Equal vectors are one entry that carries its ``k`` + 1 smallest ids, which is all that a
 result can use, so copies do not crowd a bucket. Buckets are dealt to groups of about
@@ -47,6 +49,7 @@ SAMPLE = 4096
 SAMPLE_QUERIES = 64
 TARGET_RECALL = 0.96
 MAX_PROBES = 1024
+STEPS = 2
 SEED = 20
 
 
@@ -73,13 +76,19 @@ class Hashing:
         k = len(place)
         own = np.floor(place).astype(np.int64)
         inside = place - own
-        steps = sorted([(inside[j] ** 2, j, -1) for j in range(k)] + [((1 - inside[j]) ** 2, j, 1) for j in range(k)])
+        steps = sorted(
+            x
+            for j in range(k)
+            for s in range(1, STEPS + 1)
+            for x in (((s - 1 + inside[j]) ** 2, j, -s), ((s - inside[j]) ** 2, j, s))
+        )
         cells = [own]
-        heap = [(steps[0][0], (0,))]
+        heap = [(steps[0][0], (0,))] if steps else []
         while heap and len(cells) < limit:
             cost, chosen = heapq.heappop(heap)
             used = {steps[c][1] for c in chosen}
-            if len(used) == len(chosen):
+            sound = len(used) == len(chosen)
+            if sound:
                 cell = own.copy()
                 for c in chosen:
                     cell[steps[c][1]] += steps[c][2]
@@ -88,7 +97,8 @@ class Hashing:
             if last + 1 < len(steps):
                 more = steps[last + 1][0]
                 heapq.heappush(heap, (cost - steps[last][0] + more, (*chosen[:-1], last + 1)))
-                heapq.heappush(heap, (cost + more, (*chosen, last + 1)))
+                if sound:  # what begins with two steps on one projection stays invalid
+                    heapq.heappush(heap, (cost + more, (*chosen, last + 1)))
         return np.array(cells)
 
 
@@ -98,32 +108,43 @@ def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, total: int, k: int = K_NEAREST, tables: int = TABLES) -> Hashing:
-    """Projections, width and number of probes from a sample of the vectors."""
-    rng = np.random.default_rng(SEED)
-    dimension = sample.shape[1]
+    """Projections, width and number of probes that reach the target on a sample of the vectors."""
     spread = np.sqrt(((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean()) or 1.0
-    width = WIDTH * spread
-    folds = int(np.clip(round(np.log(max(1.0, total / BUCKET_ROWS)) / np.log(5)), 1, 24))
-    hashing = Hashing(
-        rng.normal(size=(tables, dimension, folds)) / width, rng.random((tables, folds)), 1
-    )
     queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
-    cells = [np.floor(hashing.places(sample, t)).astype(np.int64) for t in range(tables)]
-    ranks = []
+    near = []
     for q in queries:
         apart = distances(q, sample)
-        near = [i for i in np.argsort(apart, kind="stable")[: k + 1] if apart[i] > 0][:k]
-        first = np.full(len(near), MAX_PROBES)
-        for t in range(tables):
+        near.append([i for i in np.argsort(apart, kind="stable")[: k + 1] if apart[i] > 0][:k])
+    folds = int(np.clip(round(np.log(max(1.0, total / BUCKET_ROWS)) / np.log(5)), 1, 24))
+    for fewer in range(folds, 0, -1):
+        rng = np.random.default_rng(SEED)
+        hashing = Hashing(
+            rng.normal(size=(tables, sample.shape[1], fewer)) / (WIDTH * spread), rng.random((tables, fewer))
+        )
+        probes = probes_needed(hashing, sample, queries, near)
+        if probes is not None:
+            hashing.probes = probes
+            return hashing
+    return Hashing(np.zeros((1, sample.shape[1], 0)), np.zeros((1, 0)))
+
+
+def probes_needed(hashing: Hashing, sample: np.ndarray, queries: np.ndarray, near: list[list[int]]) -> int | None:
+    """The probes that find ``TARGET_RECALL`` of the queries' ``near``; None if ``MAX_PROBES`` do not."""
+    tables = range(len(hashing.planes))
+    cells = [np.floor(hashing.places(sample, t)).astype(np.int64) for t in tables]
+    ranks = []
+    for q, those in zip(queries, near):
+        first = np.full(len(those), MAX_PROBES)
+        for t in tables:
             order = hashing.visits(hashing.places(q[None], t)[0], MAX_PROBES)
             at = {c.tobytes(): r for r, c in reversed(list(enumerate(order)))}
-            first = np.minimum(first, [at.get(cells[t][i].tobytes(), MAX_PROBES) for i in near])
+            first = np.minimum(first, [at.get(cells[t][i].tobytes(), MAX_PROBES) for i in those])
         ranks.append(first)
-    ranks = np.sort(np.concatenate(ranks)) if ranks else np.zeros(0, dtype=int)
-    if len(ranks):
-        need = ranks[min(len(ranks) - 1, int(np.ceil(TARGET_RECALL * len(ranks))) - 1)]
-        hashing.probes = int(min(MAX_PROBES, need + 1))
-    return hashing
+    ranks = np.sort(np.concatenate(ranks))
+    if not len(ranks):
+        return 1
+    need = int(ranks[int(np.ceil(TARGET_RECALL * len(ranks))) - 1])
+    return need + 1 if need < MAX_PROBES else None
 
 
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
