@@ -438,3 +438,16 @@ def test_near_copies_of_every_edit(spark):
         assert all(0.86 <= x <= 0.96 for x in true), (kind, true)
         assert all(got[g * 10 + c] == g * 10 for g in range(40)), kind
         assert len(set(got.values())) == 40
+
+
+def test_near_copies_are_verified(spark):
+    rng = np.random.default_rng(12)
+    texts, near = {}, []
+    for g in range(60):
+        words = [f"w{i}" for i in rng.integers(0, 3000, 12 if g < 6 else 600)]
+        texts[g * 10] = " ".join(words)
+        texts[g * 10 + 1] = " ".join(edited(words, ("append", "cut")[g % 2], float(rng.uniform(0.77, 0.83)), rng))
+        near.append(jaccard(texts[g * 10], texts[g * 10 + 1]) >= 0.8)
+    assert 10 < sum(near) < 50
+    got = dict(simhash.near_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert [got[g * 10 + 1] == g * 10 for g in range(60)] == near

@@ -390,7 +390,13 @@ NEAR_SIMILARITY = 0.8
 BANDS = 32
 BAND_ROWS = 6
 SKETCH_BINS = 256
+#: An estimate this far from the similarity asked for decides (four standard errors at 0.8), ...
+MARGIN = 0.1
+#: ... if it is from this many filled bins or more: in fewer, one bin weighs too much.
+LEAST_BINS = 64
 BLOCK = 2048
+#: Texts of undecided pairs, with all their shingles, in a group.
+VERIFIED = 256
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), dtype=np.uint32)
 
 
@@ -453,26 +459,97 @@ def _sketches(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, SKETCH_BINS)
 
 
-def _reached(sketches: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of rows of that similarity, as few as connect what all such pairs connect."""
-    out, left = [], np.arange(len(sketches))
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            alike = sketch_similarity(sketches[left], sketches[x]) >= similarity
-            met = left[alike].tolist()
-            out += [(x, y) for y in met]
-            queue += met
-            left = left[~alike]
+def _bounds(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(surely that similar, possibly so) by the estimate from sketches."""
+    estimate = sketch_similarity(a, b)
+    enough = ((a != 0xFFFF) | (b != 0xFFFF)).sum(axis=-1) >= LEAST_BINS
+    return enough & (estimate >= similarity + MARGIN), ~enough | (estimate >= similarity - MARGIN)
+
+
+def _reached(count: int, alike) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """(members, links) of each component of ``alike(x, others)``; as few links as connect it."""
+    out, left = [], np.arange(count)
+    while len(left):
+        members, links, left, at = [int(left[0])], [], left[1:], 0
+        while at < len(members) and len(left):
+            x = members[at]
+            found = alike(x, left)
+            met = left[found].tolist()
+            links += [(x, y) for y in met]
+            members += met
+            left = left[~found]
+            at += 1
+        out.append((members, links))
     return out
 
 
-def near_links(nodes: DataFrame, similarity: float = NEAR_SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _spans(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal rows."""
+    moved = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    edges = (np.nonzero(moved)[0] + 1).tolist()
+    return list(zip([0, *edges], [*edges, len(columns[0])]))
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """(node, shingles): the sorted distinct hashes of the shingles of (node, text)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            every = (np.unique(shingle_hashes((t.as_py() or b"").lower().split())) for t in batch.column(1))
+            raw = pa.array([hashes.tobytes() for hashes in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def verified(unsure: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links within sets of classes (unsure: array), by their shingles where the sketch leaves doubt."""
+    total = unsure.agg(F.sum(F.size("unsure"))).first()[0]
+    if total is None:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    groups = max(1, total // VERIFIED)
+    sets = written(unsure.select(F.xxhash64("unsure").alias("s"), F.explode("unsure").alias("node")), "near-unsure")
+    some = texts.join(sets.select("node").distinct(), "node", "left_semi")
+    shingles = written(_shingled(some).dropDuplicates(["node"]), "near-shingles")
+    rows = sets.join(nodes.select("node", "sketch"), "node").join(shingles, "node")
+
+    def verify(rows):
+        import pyarrow as pa
+
+        rows = rows.sort_by([("s", "ascending"), ("node", "ascending")])
+        node, sketches = rows.column("node").to_numpy(), _sketches(rows.column("sketch"))
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        a, b = [], []
+        for start, end in _spans(rows.column("s").to_numpy()):
+
+            def alike(x, left):
+                sure, possible = _bounds(sketches[start + left], sketches[start + x], similarity)
+                mine = sets[start + x]
+                for i in np.nonzero(possible & ~sure)[0]:
+                    other = sets[start + left[i]]
+                    both = int((mine[np.minimum(mine.searchsorted(other), len(mine) - 1)] == other).sum())
+                    sure[i] = both / (len(mine) + len(other) - both) >= similarity
+                return sure
+
+            for _, links in _reached(end - start, alike):
+                a += [node[start + x] for x, _ in links]
+                b += [node[start + y] for _, y in links]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = rows.withColumn("g", F.pmod("s", F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(verify, "a long, b long")
+
+
+def near_links(
+    nodes: DataFrame, texts: DataFrame, similarity: float = NEAR_SIMILARITY, block: int = BLOCK
+) -> DataFrame:
     """(a, b): as many links between text classes (node, bands, sketch) as connect what all do.
 
     Classes with the same value of a band meet in memory, and no pair is a row before it is
-    a link. Bands of up to ``block`` classes are dealt to groups of about that many rows; a
+    a link. Those whose estimates leave doubt meet once more with the shingles of their
+    ``texts`` (node, text; in binary). Bands of up to ``block`` classes are dealt to groups of about that many rows; a
     larger one is cut in parts, and each two of its parts meet.
     """
     bands = nodes.select("node", F.posexplode("bands").alias("part", "value"))
@@ -504,15 +581,34 @@ def near_links(nodes: DataFrame, similarity: float = NEAR_SIMILARITY, block: int
         rows = rows.sort_by([("part", "ascending"), ("value", "ascending")])
         part, value, node = (rows.column(c).to_numpy() for c in (*KEY, "node"))
         sketches = _sketches(rows.column("sketch"))
-        edges = np.nonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1]))[0] + 1
-        a, b = [], []
-        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(node)]):
-            for x, y in _reached(sketches[start:end], similarity):
-                a.append(node[start + x])
-                b.append(node[start + y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b, unsure = [], [], set()
+        for start, end in _spans(part, value):
+            every, here = node[start:end], sketches[start:end]
+            for members, _ in _reached(len(every), lambda x, left: _bounds(here[left], here[x], similarity)[1]):
+                if len(members) < 2:
+                    continue
+                few, close = every[members], here[members]
+                found = _reached(len(few), lambda x, left: _bounds(close[left], close[x], similarity)[0])
+                if len(found) == 1:
+                    a += [few[x] for x, _ in found[0][1]]
+                    b += [few[y] for _, y in found[0][1]]
+                else:
+                    unsure.add(tuple(sorted(few.tolist())))
+        none = [None] * len(unsure)
+        sets = [None] * len(a) + [list(x) for x in unsure]
+        return pa.table(
+            {
+                "a": pa.array(a + none, pa.int64()),
+                "b": pa.array(b + none, pa.int64()),
+                "unsure": pa.array(sets, pa.list_(pa.int64())),
+            }
+        )
 
-    return members.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long")
+    met = written(
+        members.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long, unsure array<long>"), "near-met"
+    )
+    unsure = met.where("unsure is not null").select("unsure").distinct()
+    return met.where("a is not null").select("a", "b").union(verified(unsure, nodes, texts, similarity))
 
 
 def near_components(
@@ -521,8 +617,8 @@ def near_components(
     """``df``'s columns but the text, and the id of the group of near copies.
 
     Texts link if they share one of ``BANDS`` bands and the similarity of their five-word
-    shingles is ``NEAR_SIMILARITY`` or more (as estimated from ``SKETCH_BINS`` bins: a standard error of 0.025 at 0.8, none for texts of
-    a few shingles). Texts that differ only in the case of A-Z and in white space are equal.
+    shingles is ``NEAR_SIMILARITY`` or more: by estimate from ``SKETCH_BINS`` bins where that is
+    further than ``MARGIN`` from it, by the shingles themselves elsewhere. Texts that differ only in the case of A-Z and in white space are equal.
     """
     keep = without(df, component_col, text_col)
     rest = df.select(*keep)
@@ -552,7 +648,17 @@ def near_components(
         ),
         "near-nodes",
     )
-    of_node = labelled(nodes, near_links(nodes)).select(F.col("node").alias(node), F.col("c").alias(component_col))
+    def classes(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            joined = (b" ".join((t.as_py() or b"").lower().split()) for t in batch.column(0))
+            found = np.array([xxhash.xxh64_intdigest(t, SEED) for t in joined], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0)], names=["node", "text"])
+
+    texts = df.select(text).mapInArrow(classes, "node long, text binary")
+    of_node = labelled(nodes, near_links(nodes, texts)).select(F.col("node").alias(node), F.col("c").alias(component_col))
     return rows.select(*keep, node).join(of_node, node).select(*keep, col(component_col))
 
 
