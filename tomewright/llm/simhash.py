@@ -1,8 +1,7 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-:func:`components` links fingerprints of 3-word shingles at two bits;
-:func:`near_components` meets texts that share a band of least hashes of their five-word
-shingles, and checks the similarity of these.
+:func:`components` links fingerprints of 3-word shingles at two bits. :mod:`.near` searches
+fingerprints of five-word shingles in the same way, among others.
 
 Fingerprints: 64 bits of 3-word shingles, a bit being set if it is set in over half the
 shingles' XXH64 values. Two fingerprints link at ``radius`` differing bits or fewer.
@@ -38,7 +37,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,7 +70,11 @@ def fingerprint(text: bytes | None, words_in_shingle: int = SHINGLE_WORDS) -> in
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(words_in_shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return majority(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -344,7 +347,12 @@ def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes`` are (node, least, ...), read repeatedly.
     """
-    members = written(connected(edges), "simhash-members")
+    return with_least(nodes, connected(edges))
+
+
+def with_least(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, c): the smallest ``least`` of each label; nodes without a label keep their own."""
+    members = written(labels, "simhash-members")
     least = written(
         members.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("c")),
         "simhash-least",
@@ -378,313 +386,40 @@ def components(
     return rows.join(of_print, fp).select(*keep, col(fp).alias(fingerprint_col), col(component_col))
 
 
-# Near copies: texts that share a band of least hashes of their five-word shingles meet, and
-# the similarity of their shingles is checked.
-
-#: Of the search by fingerprints that the bands replaced; only named by callers of old.
-NEAR_RADIUS = 7
-NEAR_SHINGLE_WORDS = 5
-NEAR_SIMILARITY = 0.8
-#: Texts of similarity s share no band with probability (1 - s**BAND_ROWS)**BANDS, whatever
-#: the edits that made them differ: 6e-5 at 0.8, 7e-8 at 0.85.
-BANDS = 32
-BAND_ROWS = 6
-SKETCH_BINS = 256
-#: An estimate this far from the similarity asked for decides (four standard errors at 0.8), ...
-MARGIN = 0.1
-#: ... if it is from this many filled bins or more: in fewer, one bin weighs too much.
-LEAST_BINS = 64
-BLOCK = 2048
-#: Texts of undecided pairs, with all their shingles, in a group.
-VERIFIED = 256
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), dtype=np.uint32)
-
-
-def band_values(hashes: np.ndarray) -> np.ndarray:
-    """[BANDS] signed longs: each mixes the least values of BAND_ROWS random orders of the hashes."""
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(short), 1024):
-        least = np.minimum(least, (short[None, at : at + 1024] * (_FACTORS[0] | np.uint32(1)) ^ _FACTORS[1]).min(axis=1))
-    out = np.full(BANDS, 0xCBF29CE484222325, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T:
-        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
-def near_features(text: bytes | None) -> tuple[int, np.ndarray, bytes]:
-    """(text class, bands, sketch) of a UTF-8 text.
-
-    The class is the XXH64 of the lower-cased words, the bands are those of
-    :func:`band_values` over the five-word shingles, the sketch a one-permutation hashing of
-    the distinct shingles: the least hash of each of ``SKETCH_BINS`` bins, 16 bits of it;
-    65535 for an empty bin.
-    """
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    words = text.lower().split() if text else []
-    whole = digest(b" ".join(words), SEED)
-    if not words:
-        return whole, band_values(np.array([whole], dtype=np.uint64)), b"\xff\xff" * SKETCH_BINS
-    hashes = shingle_hashes(words)
-    width = np.uint64(SKETCH_BINS.bit_length() - 1)
-    ordered = np.sort((hashes << (np.uint64(64) - width)) | (hashes >> width))  # by bin, then by the rest
-    bins = (ordered >> (np.uint64(64) - width)).astype(np.int64)
-    first = np.concatenate([[True], bins[1:] != bins[:-1]])
-    sketch = np.full(SKETCH_BINS, 0xFFFF, dtype="<u2")
-    sketch[bins[first]] = (ordered[first] % np.uint64(0xFFFF)).astype(np.uint16)
-    return whole, band_values(hashes), sketch.tobytes()
-
-
-def shingle_hashes(words: list[bytes]) -> np.ndarray:
-    """The XXH64 of every five-word shingle, or of all words if they are fewer."""
-    import xxhash
-
-    k = NEAR_SHINGLE_WORDS
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], dtype=np.uint64)
-
-
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sketches (arrays [..., SKETCH_BINS])."""
-    both_empty = ((a == 0xFFFF) & (b == 0xFFFF)).sum(axis=-1)
-    equal = ((a == b) & (a != 0xFFFF)).sum(axis=-1)
-    filled = a.shape[-1] - both_empty
-    return np.where(filled > 0, equal / np.maximum(1, filled), 1.0)
-
-
-def _sketches(raw) -> np.ndarray:
-    return np.frombuffer(b"".join(raw.to_pylist()), "<u2").reshape(-1, SKETCH_BINS)
-
-
-def _bounds(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(surely that similar, possibly so) by the estimate from sketches."""
-    estimate = sketch_similarity(a, b)
-    enough = ((a != 0xFFFF) | (b != 0xFFFF)).sum(axis=-1) >= LEAST_BINS
-    return enough & (estimate >= similarity + MARGIN), ~enough | (estimate >= similarity - MARGIN)
-
-
-def _reached(count: int, alike) -> list[tuple[list[int], list[tuple[int, int]]]]:
-    """(members, links) of each component of ``alike(x, others)``; as few links as connect it."""
-    out, left = [], np.arange(count)
-    while len(left):
-        members, links, left, at = [int(left[0])], [], left[1:], 0
-        while at < len(members) and len(left):
-            x = members[at]
-            found = alike(x, left)
-            met = left[found].tolist()
-            links += [(x, y) for y in met]
-            members += met
-            left = left[~found]
-            at += 1
-        out.append((members, links))
-    return out
-
-
-def _spans(*columns: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of each run of equal rows."""
-    moved = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    edges = (np.nonzero(moved)[0] + 1).tolist()
-    return list(zip([0, *edges], [*edges, len(columns[0])]))
-
-
-def _shingled(texts: DataFrame) -> DataFrame:
-    """(node, shingles): the sorted distinct hashes of the shingles of (node, text)."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            every = (np.unique(shingle_hashes((t.as_py() or b"").lower().split())) for t in batch.column(1))
-            raw = pa.array([hashes.tobytes() for hashes in every], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
-
-
-def verified(unsure: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links within sets of classes (unsure: array), by their shingles where the sketch leaves doubt."""
-    total = unsure.agg(F.sum(F.size("unsure"))).first()[0]
-    if total is None:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    groups = max(1, total // VERIFIED)
-    sets = written(unsure.select(F.xxhash64("unsure").alias("s"), F.explode("unsure").alias("node")), "near-unsure")
-    some = texts.join(sets.select("node").distinct(), "node", "left_semi")
-    shingles = written(_shingled(some).dropDuplicates(["node"]), "near-shingles")
-    rows = sets.join(nodes.select("node", "sketch"), "node").join(shingles, "node")
-
-    def verify(rows):
-        import pyarrow as pa
-
-        rows = rows.sort_by([("s", "ascending"), ("node", "ascending")])
-        node, sketches = rows.column("node").to_numpy(), _sketches(rows.column("sketch"))
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-        a, b = [], []
-        for start, end in _spans(rows.column("s").to_numpy()):
-
-            def alike(x, left):
-                sure, possible = _bounds(sketches[start + left], sketches[start + x], similarity)
-                mine = sets[start + x]
-                for i in np.nonzero(possible & ~sure)[0]:
-                    other = sets[start + left[i]]
-                    both = int((mine[np.minimum(mine.searchsorted(other), len(mine) - 1)] == other).sum())
-                    sure[i] = both / (len(mine) + len(other) - both) >= similarity
-                return sure
+def least_row(id_: Column, h: Column) -> Column:
+    """What orders the rows of a component: by id (nulls last), then by a hash of the text."""
+    return F.struct(id_.isNull().alias("unnamed"), id_.alias("id"), h.alias("h"))
 
-            for _, links in _reached(end - start, alike):
-                a += [node[start + x] for x, _ in links]
-                b += [node[start + y] for _, y in links]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = rows.withColumn("g", F.pmod("s", F.lit(groups)))
-    return dealt.groupBy("g").applyInArrow(verify, "a long, b long")
+def one_each(df: DataFrame, rows: DataFrame, of_node: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of ``df`` in each component by :func:`least_row`; columns unchanged.
 
-
-def near_links(
-    nodes: DataFrame, texts: DataFrame, similarity: float = NEAR_SIMILARITY, block: int = BLOCK
-) -> DataFrame:
-    """(a, b): as many links between text classes (node, bands, sketch) as connect what all do.
-
-    Classes with the same value of a band meet in memory, and no pair is a row before it is
-    a link. Those whose estimates leave doubt meet once more with the shingles of their
-    ``texts`` (node, text; in binary). Bands of up to ``block`` classes are dealt to groups of about that many rows; a
-    larger one is cut in parts, and each two of its parts meet.
+    ``rows`` are (id, h, node), ``of_node`` (node, c) with the least row of the node's
+    component. Decisions are about rows (id and text), so an id that comes with several
+    texts is several documents. Rows that repeat the id and the text that stay become one.
     """
-    bands = nodes.select("node", F.posexplode("bands").alias("part", "value"))
-    shared = written(bands.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1"), "near-bands")
-    total = shared.agg(F.sum("n")).first()[0]
-    if total is None:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    groups = max(1, total // block)
-    parts = F.ceil(F.col("n") / block).cast("int")
-    whole = F.col("parts") == 1
-    members = (
-        bands.join(shared.withColumn("parts", parts), KEY)
-        .withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .where(whole | (F.col("mine") != F.col("other")))
-        .select(
-            F.when(whole, F.pmod(F.xxhash64(*KEY), F.lit(groups))).otherwise(F.xxhash64(*KEY)).alias("g"),
-            F.least("mine", "other").alias("i"),
-            F.greatest("mine", "other").alias("j"),
-            *KEY,
-            "node",
-        )
-        .join(nodes.select("node", "sketch"), "node")
-    )
-
-    def meet(rows):
-        import pyarrow as pa
-
-        rows = rows.sort_by([("part", "ascending"), ("value", "ascending")])
-        part, value, node = (rows.column(c).to_numpy() for c in (*KEY, "node"))
-        sketches = _sketches(rows.column("sketch"))
-        a, b, unsure = [], [], set()
-        for start, end in _spans(part, value):
-            every, here = node[start:end], sketches[start:end]
-            for members, _ in _reached(len(every), lambda x, left: _bounds(here[left], here[x], similarity)[1]):
-                if len(members) < 2:
-                    continue
-                few, close = every[members], here[members]
-                found = _reached(len(few), lambda x, left: _bounds(close[left], close[x], similarity)[0])
-                if len(found) == 1:
-                    a += [few[x] for x, _ in found[0][1]]
-                    b += [few[y] for _, y in found[0][1]]
-                else:
-                    unsure.add(tuple(sorted(few.tolist())))
-        none = [None] * len(unsure)
-        sets = [None] * len(a) + [list(x) for x in unsure]
-        return pa.table(
-            {
-                "a": pa.array(a + none, pa.int64()),
-                "b": pa.array(b + none, pa.int64()),
-                "unsure": pa.array(sets, pa.list_(pa.int64())),
-            }
-        )
-
-    met = written(
-        members.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long, unsure array<long>"), "near-met"
-    )
-    unsure = met.where("unsure is not null").select("unsure").distinct()
-    return met.where("a is not null").select("a", "b").union(verified(unsure, nodes, texts, similarity))
-
-
-def near_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", component_col: str = "component_id"
-) -> DataFrame:
-    """``df``'s columns but the text, and the id of the group of near copies.
-
-    Texts link if they share one of ``BANDS`` bands and the similarity of their five-word
-    shingles is ``NEAR_SIMILARITY`` or more: by estimate from ``SKETCH_BINS`` bins where that is
-    further than ``MARGIN`` from it, by the shingles themselves elsewhere. Texts that differ only in the case of A-Z and in white space are equal.
-    """
-    keep = without(df, component_col, text_col)
-    rest = df.select(*keep)
-    node, bands, sketch = (fresh(df, x) for x in ("_n_node", "_n_bands", "_n_sketch"))
-    added = [
-        T.StructField(node, T.LongType()),
-        T.StructField(bands, T.ArrayType(T.LongType())),
-        T.StructField(sketch, T.BinaryType()),
-    ]
-    schema = T.StructType([*rest.schema.fields, *added])
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [near_features(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            classes = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64)
-            values = pa.array([f[1] for f in found], pa.list_(pa.int64()))
-            columns = [*batch.columns[:-1], pa.array(classes), values, pa.array([f[2] for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    text = col(text_col).cast("string").cast("binary").alias(fresh(rest, "_n_text"))
-    rows = written(df.select(*keep, text).mapInArrow(run, schema), "near-rows")
-    nodes = written(
-        rows.groupBy(col(node).alias("node")).agg(
-            F.min(col(id_col)).alias("least"), F.first(col(bands)).alias("bands"), F.first(col(sketch)).alias("sketch")
-        ),
-        "near-nodes",
-    )
-    def classes(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import xxhash
-
-        for batch in batches:
-            joined = (b" ".join((t.as_py() or b"").lower().split()) for t in batch.column(0))
-            found = np.array([xxhash.xxh64_intdigest(t, SEED) for t in joined], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0)], names=["node", "text"])
-
-    texts = df.select(text).mapInArrow(classes, "node long, text binary")
-    of_node = labelled(nodes, near_links(nodes, texts)).select(F.col("node").alias(node), F.col("c").alias(component_col))
-    return rows.select(*keep, node).join(of_node, node).select(*keep, col(component_col))
-
-
-def deduplicated(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = False
-) -> DataFrame:
-    """One document of each component: the one of the smallest id; columns unchanged.
-
-    Components are those of :func:`components`, or of :func:`near_components`.
-
-    Rows with a null id belong to no component and stay. Rows that repeat the id that
-    stays become one row.
-    """
-    c = fresh(df, "_s_component")
-    texts = df.select(col(id_col), col(text_col))
-    if near:
-        found = near_components(texts, id_col, text_col, c)
-    else:
-        found = components(texts, id_col, text_col, "_s_print", c)
-    found = written(found.select(col(id_col), col(c)), "simhash-decisions")
-    gone = found.where(col(id_col) != col(c)).select(col(id_col)).distinct()
-    kept = df.join(written(gone, "simhash-gone"), id_col, "left_anti").select(*[col(x) for x in df.columns])
-    twice = found.where(col(id_col) == col(c)).groupBy(col(id_col)).count().where("count > 1")
+    stays = F.col("id").eqNullSafe(F.col("c.id")) & (F.col("h") == F.col("c.h"))
+    found = written(rows.join(of_node, "node").select("id", "h", stays.alias("stays")), "simhash-decisions")
+    names = [col(x) for x in df.columns]
+    key_id, key_h = fresh(df, "_s_id"), fresh(df, "_s_h")
+    h = F.xxhash64(col(text_col).cast("string").cast("binary"))
+    same = col(id_col).eqNullSafe(col(key_id)) & (h == col(key_h))
+    key = [F.col("id").alias(key_id), F.col("h").alias(key_h)]
+    gone = written(found.where("not stays").select(*key).distinct(), "simhash-gone")
+    kept = df.join(gone, same, "left_anti").select(*names)
+    twice = found.where("stays").groupBy("id", "h").count().where("count > 1").select(*key)
+    twice = written(twice, "simhash-repeated")
     if twice.isEmpty():
         return kept
-    odd = written(twice.select(col(id_col)), "simhash-repeated")
-    once = kept.join(odd, id_col, "left_semi").dropDuplicates([id_col])
-    names = [col(x) for x in df.columns]
-    return kept.join(odd, id_col, "left_anti").select(*names).union(once.select(*names))
+    once = kept.join(twice, same, "left_semi").withColumn(key_h, h).dropDuplicates([id_col, key_h])
+    return kept.join(twice, same, "left_anti").select(*names).union(once.select(*names))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of fingerprints: see :func:`one_each`."""
+    text = col(text_col).cast("string").cast("binary")
+    texts = df.select(col(id_col).alias("id"), F.xxhash64(text).alias("h"), col(text_col).alias("text"))
+    rows = written(with_fingerprints(texts, "text", "node"), "simhash-rows")
+    prints = rows.groupBy("node").agg(F.min(least_row(F.col("id"), F.col("h"))).alias("least"))
+    prints = written(prints.withColumn("fp", F.col("node")), "simhash-prints")
+    return one_each(df, rows, labelled(prints, links(prints)), id_col, text_col)
