@@ -1,7 +1,7 @@
 import corpus_pipeline
 import duckdb
 
-from tomewright.llm import common, quality, queries, simhash
+from tomewright.llm import common, near, quality, queries, simhash
 
 
 def test_stages(spark, sf):
@@ -17,7 +17,7 @@ def test_stages(spark, sf):
         if name == "quality_rules":
             assert after.count() == quality.score(before).where("quality.kept").count() and after.columns == columns
         if name == "simhash_dedup":
-            whole = simhash.near_components(before.select("doc_id", "text")).collect()
+            whole = near.components(before.select("doc_id", "text")).collect()
             ids = sorted(r["doc_id"] for r in after.select("doc_id").collect())
             assert ids == sorted({r["component_id"] for r in whole}) and after.columns == columns
             exact = simhash.components(after.select("doc_id", "text"))
