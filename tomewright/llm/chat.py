@@ -18,8 +18,9 @@ string that has backslashes there already), which is undone by taking one away;
 feeds and per cent signs in roles are written %0A and %25.
 
 Defined results: null roles and texts are empty strings; turns are ordered by turn, then
-role and text (nulls first), and repeated rows stay; rows with a null conversation id are
-one conversation; an empty table gives no packs; other columns are ignored.
+role and text (nulls first), and repeated rows stay; a row with a null conversation id is a
+conversation of its own, of one turn; an empty table gives no packs; very long texts make
+a pack of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,7 +69,10 @@ def paths(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col:
         F.coalesce(col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    grouped = df.groupBy(col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    known = df.where(col(conv_col).isNotNull())
+    grouped = known.groupBy(col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    alone = df.where(col(conv_col).isNull()).select(col(conv_col).alias("conv"), F.array(turn).alias("turns"))
+    grouped = grouped.union(alone)
     digest = F.transform("turns", lambda t: F.md5(F.concat_ws("\n", t["role"], t["text"])))
     return grouped.select("conv", F.array_join(digest, "").alias("path"), "turns")
 

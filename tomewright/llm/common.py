@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (single-machine tests).
+#: Used only where the session names no folder and runs on one machine (tests).
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir"
     )
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = FALLBACK_CHECKPOINT_DIR
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)

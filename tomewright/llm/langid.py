@@ -41,7 +41,9 @@ WORD_CAP = 8.0
 #: A language is written in a script if that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
 SEGMENT = 128
+#: Words in a worker's memo, and the longest word kept.
 MEMO_WORDS = 500_000
+MEMO_CHARS = 40
 
 # First code points of script ranges; a range lasts up to the next.
 SCRIPTS = (
@@ -78,7 +80,9 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 SCRIPT_NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Of letter categories only: numbers such as one half or a Roman numeral are none.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def scripts_of(codes: np.ndarray) -> np.ndarray:
@@ -193,9 +197,9 @@ class Tagger:
         rows = self.rows
         new = [w for w in set(tokens) if w not in rows]
         if new:
-            if len(rows) + len(new) > MEMO_WORDS and rows:
+            if max(len(rows), self.used) + len(new) > MEMO_WORDS:
                 rows.clear()
-                self.used = 1
+                self.used, self.scores = 1, self.scores[:1024]
                 new = list(set(tokens))
             letters = ["".join(_LETTERS.findall(w)) for w in new]
             real = [(w, x) for w, x in zip(new, letters) if x]
@@ -209,7 +213,11 @@ class Tagger:
                     self.scores = grown
                 self.scores[base:need] = self.model.words([x for _, x in real])
                 rows.update((w, base + i) for i, (w, _) in enumerate(real))
-        return np.fromiter(map(rows.__getitem__, tokens), np.int64, len(tokens))
+        found = np.fromiter(map(rows.__getitem__, tokens), np.int64, len(tokens))
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del rows[w]
+        return found
 
     def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]], list[np.ndarray]]:
         """Per text: the label of each word, the words, and the letters of each word."""
@@ -245,6 +253,8 @@ class Tagger:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(first word, word after the last, language) of the runs of one label."""
+        if not self.model.languages:
+            return []
         (labels,), _, _ = self.label([text])
         cuts = [0, *(np.nonzero(np.diff(labels))[0] + 1).tolist(), len(labels)]
         return [(a, b, self.model.languages[labels[a]]) for a, b in zip(cuts, cuts[1:]) if b > a]
@@ -336,3 +346,33 @@ def predict(
 
     text = col(text_col).cast("string").alias(fresh(rest, "_l_text"))
     return df.select(*keep, text).mapInArrow(run, schema)
+
+
+def spans(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+    """``df``'s columns but the text, and its runs of one language.
+
+    (first word, word after the last, language), words being separated by white space; null
+    texts and texts without a word have none.
+    """
+    keep = without(df, text_col, out_col)
+    rest = df.select(*keep)
+    run_type = "struct<first:int,after:int,lang:string>"
+    schema = T.StructType([*rest.schema.fields, *T.StructType.fromDDL(f"`{out_col}` array<{run_type}>").fields])
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, bounded
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        tagger, kind = Tagger(shared.value), to_arrow_type(schema[out_col].dataType)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [
+                    [{"first": a, "after": b, "lang": lang} for a, b, lang in tagger.spans(t)]
+                    for t in part.column(part.num_columns - 1).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, kind)], names=schema.names)
+
+    text = col(text_col).cast("string").alias(fresh(rest, "_l_text"))
+    return df.select(*keep, text).mapInArrow(run, schema)

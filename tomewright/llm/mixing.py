@@ -2,9 +2,14 @@
 
 A source of n documents and target weight w gets the mean repetition rate
 w * budget / n. Each document draws its number of copies from a Poisson distribution of
-that mean by inversion of a uniform number, a hash of seed and id, so the draw does not
-depend on partitions or retries. Copies are exploded and dealt by a hash of (id, copy);
-sorted by it inside each partition, the whole is one random order.
+that mean by inversion of a uniform number, a hash of seed, id, text and occurrence, so the
+draw does not depend on partitions or retries. Copies are exploded and dealt by a hash of
+the same and the copy; sorted by it inside each partition, the whole is one random order.
+
+The occurrence is 0 for all but rows that repeat both the id and the text: these are
+numbered, so that each has a draw and a place of its own. Only their keys are counted and
+only if there are any is a join made; a key of more than ``NUMBERED`` rows is numbered in
+as many parts as it has times that, by position.
 
 Built-in functions only. Sources are counted by a partial aggregate and their rates come
 back by a join: a broadcast one while there are at most ``BROADCAST_SOURCES`` sources, a
@@ -12,14 +17,14 @@ plain one beyond that, which adaptive skew handling splits if a source is hot. T
 other shuffle deals the copies evenly, hot source or not.
 
 Defined results: a null source is a source; sources missing from ``weights`` get no
-copies; rows of one id get equal numbers of copies (equal draws); a null id draws like
-the text ``null``; an empty table gives an empty result; input columns named like the
-outputs are replaced.
+copies; rows with a null or repeated id draw by their texts, repeated rows by their
+occurrence, each for itself; without a text column rows of one id are repeated rows; an
+empty table gives an empty result; input columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, fresh, let, without, written
@@ -30,6 +35,8 @@ MAX_MEAN = 16.0
 #: A Poisson number of mean MAX_MEAN exceeds this with a probability below 2^-80.
 MAX_COUNT = 100
 BROADCAST_SOURCES = 10_000
+#: Repeated rows of one id and text that one task numbers.
+NUMBERED = 100_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -52,6 +59,31 @@ def poisson_cdf(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COUNT)), start, step, lambda s: s["all"])
 
 
+def identified(df: DataFrame, id_col: str, text_col: str, key_col: str) -> DataFrame:
+    """``df`` with ``key_col``: id, digest of the text and occurrence, a string of each row's own."""
+    id_text = F.coalesce(col(id_col).cast("string"), F.lit("null"))
+    has_text = text_col.lower() in {c.lower() for c in df.columns}
+    digest = F.md5(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary")) if has_text else F.lit("")
+    base = F.concat_ws("|", id_text, digest)
+    b, n, at = (fresh(df, x) for x in ("_m_base", "_m_times", "_m_at"))
+    counts = df.groupBy(base.alias(b)).agg(F.count("*").alias(n)).where(col(n) > 1)
+    counts = written(counts, "mix-repeated")
+    if counts.isEmpty():
+        return df.withColumn(key_col, F.concat_ws("|", base, F.lit("0")))
+    every = df.withColumn(key_col, base)
+    once = every.join(counts, col(key_col) == col(b), "left_anti")
+    parts = F.ceil(col(n) / NUMBERED).cast("long")
+    again = every.join(counts, col(key_col) == col(b)).withColumn(
+        at, F.pmod(F.monotonically_increasing_id(), parts)
+    )
+    number = F.row_number().over(Window.partitionBy(b, at).orderBy(F.lit(1))) - 1
+    number = (number * parts + col(at)).cast("string")
+    names = [col(c) for c in df.columns]
+    return once.select(*names, F.concat_ws("|", col(key_col), F.lit("0")).alias(key_col)).union(
+        again.select(*names, F.concat_ws("|", col(key_col), number).alias(key_col))
+    )
+
+
 def mix(
     df: DataFrame,
     weights: dict[str, float] | None = None,
@@ -62,6 +94,7 @@ def mix(
     seed: int = SEED,
     copy_col: str = "copy",
     order_col: str = "shuffle_key",
+    text_col: str = "text",
 ) -> DataFrame:
     """``df``'s columns, ``copy_col`` (from 1) and ``order_col`` (ascending in a partition).
 
@@ -90,8 +123,8 @@ def mix(
     rates = written(rates, "mix-rates")
     if whole[2] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.coalesce(col(id_col).cast("string"), F.lit("null"))
-    drawn = fresh(df, "_m_copies")
+    drawn, key_col = fresh(df, "_m_copies"), fresh(df, "_m_key")
+    key = col(key_col)
     draws = F.aggregate(
         F.sequence(F.lit(1), col(parts)),
         F.lit(0),
@@ -102,16 +135,16 @@ def mix(
         ),
     )
     copies = (
-        df.join(rates, source.eqNullSafe(col(s)))
-        .select(*keep, draws.alias(drawn))
+        identified(df, id_col, text_col, key_col)
+        .join(rates, source.eqNullSafe(col(s)))
+        .select(*keep, key_col, draws.alias(drawn))
         .where(col(drawn) > 0)
-        .select(*keep, F.explode(F.sequence(F.lit(1), col(drawn))).alias(copy_col))
+        .select(*keep, key_col, F.explode(F.sequence(F.lit(1), col(drawn))).alias(copy_col))
     )
     order = F.conv(
         F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), key, col(copy_col).cast("string"))), 1, 15),
         16,
         10,
     ).cast("long")
-    return (
-        copies.withColumn(order_col, order).repartition(col(order_col)).sortWithinPartitions(col(order_col))
-    )
+    dealt = copies.select(*keep, copy_col, order.alias(order_col))
+    return dealt.repartition(col(order_col)).sortWithinPartitions(col(order_col))

@@ -5,8 +5,10 @@ whole windows first; what is left goes, uncut, to the fill level that minimises
 of the squared counts of partially filled windows, N(h) being the number of open windows
 filled to h. N is one array of ``window`` + 1 counts. At the end of a partition the
 emptiest open windows are cut up to top up the fullest ones, so a partition pads at most
-one window. No shuffle, no group: memory is bounded by the open windows (at most
-``window`` levels, each kept short by the squares) whatever one source or key holds.
+one window. The same is done to half of the open windows whenever all of them hold more
+than ``OPEN_IDS`` ids (as when every document is a little over half a window, and none
+fits another): nothing is padded, and no more ids than that are ever held. No shuffle, no
+group, whatever one source or key holds.
 
 Defined results: null texts are empty documents (the end id alone); an empty table gives
 no rows; repeated rows are packed once each; columns other than the id and the text are
@@ -15,6 +17,7 @@ ignored, so no name can clash. Pieces of one document stay in one partition's se
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ WINDOW = 4096
 END_ID = 2
 #: Sequences are numbered from partition << SEQUENCE_BITS.
 SEQUENCE_BITS = 40
+#: Ids (four bytes each) that open windows hold at most.
+OPEN_IDS = 1 << 21
 
 
 class LevelPacker:
@@ -36,8 +41,8 @@ class LevelPacker:
     ``add`` and ``finish`` return closed windows, each a list of pieces in order.
     """
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, open_ids: int = OPEN_IDS):
+        self.window, self.open_ids, self.held = window, max(open_ids, 2 * window), 0
         self.count = np.zeros(window + 1, dtype=np.int64)  # N(h); N(0) = N(window) = 0
         self.open: dict[int, list[list[tuple]]] = {}
 
@@ -65,10 +70,12 @@ class LevelPacker:
             self.count[h] -= 1
         pieces.append(piece)
         if h + size == self.window:
+            self.held -= h
             return [pieces]
+        self.held += size
         self.open.setdefault(h + size, []).append(pieces)
         self.count[h + size] += 1
-        return []
+        return self.relieve(self.open_ids // 2) if self.held > self.open_ids else []
 
     def add(self, key, ids: bytes) -> list[list[tuple]]:
         total, step, closed, at = len(ids) // 4, self.window * 4, [], 0
@@ -79,13 +86,12 @@ class LevelPacker:
             closed += self.place((key, at // 4, ids[at:], total))
         return closed
 
-    def finish(self) -> list[list[tuple]]:
-        """Close what is open: the emptiest windows are cut to top up the fullest."""
-        left = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        self.open, closed = {}, []
-        self.count[:] = 0
-        while left:
-            pieces = left.pop(0)
+    def relieve(self, most: int) -> list[list[tuple]]:
+        """Close the fullest windows, topped up with pieces of the emptiest, until ``most`` ids are open."""
+        left = deque(w for h in sorted(self.open, reverse=True) for w in self.open[h])
+        closed = []
+        while left and self.held > most:
+            pieces = left.popleft()
             room = self.window * 4 - sum(len(p[2]) for p in pieces)
             while room and left:
                 key, start, ids, total = left[-1].pop()
@@ -99,8 +105,19 @@ class LevelPacker:
                 if not left[-1]:
                     left.pop()
             closed.append(pieces)
+            self.held -= self.window - room // 4
+        self.open = {}
+        self.count[:] = 0
+        for pieces in left:
+            h = sum(len(p[2]) for p in pieces) // 4
+            self.open.setdefault(h, []).append(pieces)
+            self.count[h] += 1
         return closed
 
+    def finish(self) -> list[list[tuple]]:
+        """Close what is open: the emptiest windows are cut to top up the fullest."""
+        return self.relieve(0)
+
 
 def pack(
     df: DataFrame,
