@@ -96,6 +96,11 @@ def test_language(spark, odd, empty):
     spans = tagger.spans(" ".join([en] * 3 + [de] * 3 + [ru]))
     assert [s[2] for s in spans] == ["en", "de", "ru"]
     assert tagger.predict(["中文"])[1] == [0.0]  # a script that no language uses
+    assert tagger.predict(["½ ²", "Ⅷ ① 12"]) == (["und", "und"], [0.0, 0.0])  # numbers, no letters
+    tagger.predict([" ".join(f"{i}" + "x" * 20_000 for i in range(20))])
+    assert max(map(len, tagger.rows)) <= langid.MEMO_CHARS
+    shown = langid.spans(spark.createDataFrame([(1, " ".join([en] * 3 + [de] * 3), 2), (2, None, 3)], "doc_id long, text string, spans int"), model)
+    assert [[x["lang"] for x in r["spans"]] for r in shown.orderBy("doc_id").collect()] == [["en", "de"], []]
     out = langid.predict(odd, model)
     assert out.count() == len(ODD) and out.columns == ["doc_id", "n_tokens", "quality", "_q_words", "lang_pred", "score"]
     assert langid.predict(empty, model).count() == 0
@@ -226,6 +231,20 @@ def test_mixing(spark, empty):
     many = mixing.mix(docs.where("doc_id < 40"), {"big": 1.0}, budget=40 * 100).count()  # large rates in parts
     assert abs(many - 4000) < 400
     assert mixing.mix(empty.withColumn("source", F.lit("a"))).count() == 0
+    # two thirds of the ids null, rows repeated, names that clash: every row draws for itself
+    hot = spark.range(4000).selectExpr("if(id % 3 = 0, id, null) doc_id", "'s' source", "concat('t', id % 3000) text", "1 copy", "2 shuffle_key", "3 _m_key")
+    out = mixing.mix(hot, budget=4000)
+    assert out.columns == ["doc_id", "source", "text", "_m_key", "copy", "shuffle_key"] and abs(out.count() - 4000) < 300
+    keys = out.groupBy("shuffle_key").count().where("count > 1").count()
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert keys == 0 and max(sizes) < 2 * min(sizes)
+    assert mixing.mix(hot.drop("text"), budget=4000).groupBy("shuffle_key").count().where("count > 1").count() == 0
+    old, mixing.NUMBERED = mixing.NUMBERED, 7
+    try:
+        same = mixing.identified(spark.range(100).selectExpr("5L doc_id", "'x' text"), "doc_id", "text", "k")
+        assert same.select("k").distinct().count() == 100
+    finally:
+        mixing.NUMBERED = old
     counts = [r[0] for r in spark.createDataFrame([(0.5,), (16.0,)], "m double").select(F.element_at(mixing.poisson_cdf(F.col("m")), -1)).collect()]
     assert all(abs(c - 1) < 1e-12 for c in counts)
 
@@ -284,6 +303,28 @@ def test_packing(spark, odd, empty):
     assert packing.pack(odd).select("doc_id").distinct().count() == len({i for i, _ in ODD}) and packing.pack(empty).count() == 0
 
 
+def test_open_windows_are_bounded():
+    """Documents of a little over half a window never fit one another."""
+    p, closed, most = packing.LevelPacker(4096, open_ids=100_000), [], 0
+    for i in range(6000):
+        closed += p.add(i, bytes(4 * 2100))
+        most = max(most, sum(len(x[2]) // 4 for ws in p.open.values() for w in ws for x in w))
+    assert most <= 100_000 and most == p.held or most <= 100_000
+    assert all(sum(len(x[2]) for x in w) == 4 * 4096 for w in closed)
+    closed += p.finish()
+    assert len(closed) == -(-6000 * 2100 // 4096) and p.held == 0
+    got = {}
+    for w in closed:
+        for key, start, ids, total in w:
+            got.setdefault(key, []).append((start, len(ids) // 4))
+    for pieces in got.values():
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == 2100
+
+
 def test_sum_of_squares_level():
     rng = np.random.default_rng(0)
     p = packing.LevelPacker(64)
@@ -314,6 +355,9 @@ def test_chat(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, nodes string")
     packed = chat.packs(df, pack_conversations=20)
     back = {r["conv_id"]: r for r in chat.conversations(packed).collect()}
+    alone = spark.range(500).selectExpr("cast(null as long) conv_id", "id turn", "'user' role", "concat('z', id, repeat(' long', 2000)) text")
+    turns = chat.conversations(chat.packs(alone)).collect()  # each row by itself, very long texts
+    assert sorted(r["turns"][0]["text"] for r in turns) == sorted(r["text"] for r in alone.collect()) and {len(r["turns"]) for r in turns} == {1}
     want = {}
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] or -1, r[1], r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((role or "", text or ""))
@@ -353,7 +397,25 @@ def test_token_files(spark, odd, empty):
         assert r["start"] == at and bytes(r["ids"]) == want and r["n_tokens"] == len(want) // 4
         at += r["n_tokens"]
     dac.write(empty, path + "-empty")
-    assert dac.read(spark, path + "-empty").count() == 0
+    assert dac.read(spark, path + "-empty").count() == 0 and len(dac.TokenFiles(spark, path + "-empty")) == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    dac.write(odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100)), path + "-small", segment_tokens=5000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = sorted(dac.read(spark, path + "-small").collect(), key=lambda r: r["start"])
+    every = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<u4")
+    files = dac.TokenFiles(spark, path + "-small")
+    assert len(files) == len(every) and len(spark.read.parquet(path + "-small/manifest").collect()) > 1
+    for i in [0, 1, len(every) - 1, *rng.integers(0, len(every), 60).tolist()]:
+        assert files[i] == every[i]
+    read = [0]
+
+    def counted(at, n, code=dac.encode(values)):
+        read[0] += n
+        return code[at : at + n]
+
+    reader = dac.Reader(counted)
+    read[0] = 0
+    assert reader[3777] == values[3777] and read[0] < 600  # no block is decoded
 
 
 def test_token_counts(spark, odd, empty):

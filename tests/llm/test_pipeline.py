@@ -45,3 +45,26 @@ def test_sql_queries(spark, sf):
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_stages_on_odd_tables(spark, sf):
+    """Nulls in every column, repeated rows, a very long text, ties, clashing names; and no rows at all."""
+    plain = "the house and the garden are open to everyone who wants to read a book or walk in the sun today"
+    rows = [(i, f"{plain} number {i} of the list", "en", "a", 9) for i in range(30)]
+    rows += [(3, rows[3][1], "en", "a", 9)] * 3 + [(None, None, None, None, None)] * 3 + [(None, plain + " again", None, None, 1)]
+    rows += [(3, "another text with the same id, " + plain, "en", "b", 9), (50, "", "en", "a", 0), (51, (plain + " ") * 3000, "en", "a", 9)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.selectExpr("*", "1 score", "'x' quality", "2 copy", "3 shuffle_key", "4 node", "5 h", "6 id", "7 start")
+    for docs in (odd, odd.where("doc_id < 0")):
+        for name, stage in corpus_pipeline.STAGES:
+            after = common.written(stage(spark, docs, sf), f"odd-{name}")
+            assert name == "packing" or after.columns == docs.columns, name
+            if name == "toxicity":
+                assert after.count() == docs.count()  # nothing toxic here, nulls stay
+            if name == "simhash_dedup":
+                kept = after.select("doc_id", "text").collect()
+                assert len(kept) == len(set(kept))
+                assert len(kept) <= docs.select("text").distinct().count() and bool(kept) == (docs.count() > 0)
+            if name == "packing":
+                assert after.agg({"length": "sum"}).first()[0] is None or after.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+            docs = after

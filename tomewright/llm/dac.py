@@ -7,11 +7,15 @@ of level 0 and, while its bit is set, moving to position rank(i) of the next lev
 block is decoded. The widths of the levels minimise a segment's size, by dynamic
 programming over the bit lengths that occur in it.
 
-A file set is a folder: ``segments`` (one row a run of whole documents: shard, segment,
-first_token, ids and token counts of its documents, and the code's bytes) and
-``manifest`` (shard, first_token, n_tokens, n_docs). Both are Parquet containers written
-by Spark's committer, so they can live in any store that Spark reaches, a lost executor
-costs its tasks only, and a failed attempt leaves nothing that readers see.
+A file set is a folder. ``codes/kind=code`` has a file a shard, written by Spark's
+committer as raw bytes: for every segment (a run of whole documents) its code, then its
+documents' ids and token counts (an Arrow stream) and the stream's length, then a separator
+drawn for the file set. ``codes/kind=index`` has a JSON line a segment with its first token
+and the byte at which its code starts; ``manifest`` a row a shard (shard, first_token, n_tokens, n_docs,
+file names), ``about`` the separator and the type of the ids. So the set can live in any
+store that Spark reaches, a lost executor costs its tasks only, a failed attempt leaves
+nothing that readers see, and :class:`TokenFiles` reads a token by seeking to the few bytes
+of its chunks, bits and ranks.
 
 Rows are dealt by ranges of the id, so a hot source spreads like any other; each task
 streams through its sorted range and holds one segment.
@@ -23,8 +27,11 @@ an empty file set; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
-from collections.abc import Iterator
+import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -105,28 +112,37 @@ def encode(values: np.ndarray) -> bytes:
     return b"".join(head + body)
 
 
-class Reader:
-    """Random access to one code: ``reader[i]``, ``len(reader)`` and ``reader.all()``."""
+#: The bytes of a code that :class:`Reader` asks for first: no header is longer.
+HEADER = 13 + 33 * 9
+
 
-    def __init__(self, data: bytes):
-        view = memoryview(data)
-        if bytes(view[:4]) != MAGIC:
+class Reader:
+    """Random access to one code: ``reader[i]``, ``len(reader)`` and ``reader.all()``.
+
+    The code is bytes, or a function that returns ``n`` bytes from a position on.
+    """
+
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        if callable(data):
+            self.fetch = data
+        else:
+            view = memoryview(data)
+            self.fetch = lambda at, n: view[at : at + n]
+        head = bytes(self.fetch(0, HEADER))
+        if head[:4] != MAGIC:
             raise ValueError("not a directly addressable code")
-        self.n, levels = struct.unpack_from("<QB", view, 4)
-        widths = list(view[13 : 13 + levels])
-        sizes = struct.unpack_from(f"<{levels}Q", view, 13 + levels)
+        self.n, levels = struct.unpack_from("<QB", head, 4)
+        sizes = struct.unpack_from(f"<{levels}Q", head, 13 + levels)
         at = 13 + levels + 8 * levels
-        self.levels = []
-        for j, (width, n) in enumerate(zip(widths, sizes)):
-            size = (n * width + 7) // 8
-            chunk, at = view[at : at + size], at + size
+        self.levels = []  # (width, values, position of chunks, of the bitmap, of the ranks)
+        for j, (width, n) in enumerate(zip(head[13 : 13 + levels], sizes)):
+            chunk, at = at, at + (n * width + 7) // 8
             bitmap = rank = None
             if j + 1 < levels:
-                size = (n + 7) // 8
-                bitmap, at = np.frombuffer(view[at : at + size], np.uint8), at + size
-                size = 4 * (1 + (n + RANK_BITS - 1) // RANK_BITS)
-                rank, at = np.frombuffer(view[at : at + size], "<u4"), at + size
+                bitmap, at = at, at + (n + 7) // 8
+                rank, at = at, at + 4 * (1 + (n + RANK_BITS - 1) // RANK_BITS)
             self.levels.append((width, n, chunk, bitmap, rank))
+        self.size = at  # bytes of the code
 
     def __len__(self) -> int:
         return self.n
@@ -137,31 +153,41 @@ class Reader:
         value, shift = 0, 0
         for width, _, chunk, bitmap, rank in self.levels:
             first = i * width
-            word = int.from_bytes(chunk[first // 8 : (first + width + 7) // 8], "little")
+            start = first // 8
+            word = int.from_bytes(self.fetch(chunk + start, (first + width + 7) // 8 - start), "little")
             value |= ((word >> (first % 8)) & ((1 << width) - 1)) << shift
             shift += width
-            if bitmap is None or not (bitmap[i >> 3] >> (i & 7)) & 1:
+            if bitmap is None:
                 return value
             block = i // RANK_BITS
-            whole, odd = bitmap[block * RANK_BITS // 8 : i >> 3], int(bitmap[i >> 3]) & ((1 << (i & 7)) - 1)
-            i = int(rank[block]) + int(np.unpackbits(whole).sum()) + odd.bit_count()
+            start = block * RANK_BITS // 8
+            bits = int.from_bytes(self.fetch(bitmap + start, (i >> 3) + 1 - start), "little")
+            at = i - 8 * start
+            if not bits >> at & 1:
+                return value
+            before = (bits & ((1 << at) - 1)).bit_count()
+            i = int.from_bytes(self.fetch(rank + 4 * block, 4), "little") + before
         return value
 
     def all(self) -> np.ndarray:
         """Every value, level by level."""
         out, where, shift = np.zeros(self.n, dtype=np.uint32), None, 0
         for width, n, chunk, bitmap, _ in self.levels:
-            part = _unpack_bits(chunk, n, width) << np.uint32(shift)
+            part = _unpack_bits(self.fetch(chunk, (n * width + 7) // 8), n, width) << np.uint32(shift)
             if where is None:
                 out, where = part, np.arange(n)
             else:
                 out[where] |= part
             shift += width
             if bitmap is not None:
-                where = where[np.unpackbits(bitmap, bitorder="little", count=n).astype(bool)]
+                bits = np.frombuffer(self.fetch(bitmap, (n + 7) // 8), np.uint8)
+                where = where[np.unpackbits(bits, bitorder="little", count=n).astype(bool)]
         return out
 
 
+INDEX = "shard long, segment long, first_token long, n_tokens long, n_docs long, start long, size long"
+
+
 def write(
     df: DataFrame,
     path: str,
@@ -169,24 +195,13 @@ def write(
     text_col: str = "text",
     tokenizer: str | None = None,
     end_id: int = END_ID,
+    segment_tokens: int = SEGMENT_TOKENS,
 ) -> None:
     """Encode every text and write the file set to ``path``, documents by ascending id."""
     vocabulary = tokenizer or vocabulary_path("word_bpe_49k.json")
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType
-    longs = T.LongType()
-    schema = T.StructType(
-        [
-            T.StructField("shard", longs),
-            T.StructField("segment", longs),
-            T.StructField("first_token", longs),
-            T.StructField("n_tokens", longs),
-            T.StructField("doc_ids", T.ArrayType(kind)),
-            T.StructField("lengths", T.ArrayType(longs)),
-            T.StructField("code", T.BinaryType()),
-        ]
-    )
     end = end_id.to_bytes(4, "little")
+    mark = f"\x00{uuid.uuid4().hex}\x00"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -194,23 +209,31 @@ def write(
 
         encode_text = encoder(vocabulary).encode
         shard = TaskContext.get().partitionId()
-        segment = first = held = 0
+        segment = first = held = start = 0
         keys, parts, key_type = [], [], None
 
         def close() -> pa.RecordBatch:
-            nonlocal segment, first, held, keys, parts
+            nonlocal segment, first, held, start, keys, parts
             code = encode(np.frombuffer(b"".join(parts), "<u4"))
-            row = [
-                pa.array([shard], pa.int64()),
-                pa.array([segment], pa.int64()),
-                pa.array([first], pa.int64()),
-                pa.array([held], pa.int64()),
-                pa.array([keys], pa.list_(key_type)),
-                pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())),
-                pa.array([code], pa.binary()),
-            ]
-            segment, first, held, keys, parts = segment + 1, first + held, 0, [], []
-            return pa.RecordBatch.from_arrays(row, names=schema.names)
+            sizes = pa.array([len(p) // 4 for p in parts], pa.int64())
+            names = pa.record_batch([pa.array([shard] * len(keys), pa.int64()), pa.array(keys, key_type), sizes], ["shard", "id", "n"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, names.schema.with_metadata({"first": str(first)})) as stream:
+                stream.write_batch(names)
+            names = sink.getvalue().to_pybytes()
+            record = code + names + struct.pack("<I", len(names))
+            line = dict(shard=shard, segment=segment, first_token=first, n_tokens=held, n_docs=len(keys), start=start, size=len(code))
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(["code", "index"]),
+                    pa.array([segment] * 2, pa.int64()),
+                    pa.array([record, json.dumps(line).encode()], pa.binary()),
+                ],
+                names=["kind", "segment", "value"],
+            )
+            segment, first, held, start = segment + 1, first + held, 0, start + len(record) + len(mark)
+            keys, parts = [], []
+            return out
 
         for batch in batches:
             key_type = batch.column(0).type
@@ -220,7 +243,7 @@ def write(
                     parts.append(encode_text(text or "") + end)
                     keys.append(key)
                     held += len(parts[-1]) // 4
-                    if held >= SEGMENT_TOKENS:
+                    if held >= segment_tokens:
                         yield close()
         if keys:
             yield close()
@@ -232,66 +255,117 @@ def write(
         .repartitionByRange(col(id_col), col(order))
         .sortWithinPartitions(col(id_col), col(order))
     )
-    dealt.select(col(id_col), col(text_col)).mapInArrow(run, schema).write.parquet(f"{path}/segments")
-    totals = (
-        spark.read.schema(schema)
-        .parquet(f"{path}/segments")
-        .groupBy("shard")
-        .agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.size("doc_ids")).cast("long").alias("n_docs"))
-        .orderBy("shard")
-        .collect()  # one row a shard: as many as the writing stage had tasks
+    records = dealt.select(col(id_col), col(text_col)).mapInArrow(run, "kind string, segment long, value binary")
+    (
+        records.sortWithinPartitions("kind", "segment")  # as the writer needs it; a shard's records keep their order
+        .select("kind", F.col("value").cast("string"))  # the bytes as they are
+        .write.partitionBy("kind")
+        .option("lineSep", mark)
+        .option("compression", "none")
+        .text(f"{path}/codes")
     )
-    first, rows = 0, []
-    for r in totals:
-        rows.append((r["shard"], first, r["n_tokens"], r["n_docs"]))
-        first += r["n_tokens"]
-    spark.createDataFrame(
-        rows, "shard long, first_token long, n_tokens long, n_docs long"
-    ).coalesce(1).write.parquet(f"{path}/manifest")
+    about = [(mark, df.schema[id_col].dataType.simpleString())]
+    spark.createDataFrame(about, "mark string, id_type string").coalesce(1).write.parquet(f"{path}/about")
+    files, rows, first = {}, [], 0
+    manifest = "shard long, first_token long, n_tokens long, n_docs long, code_file string, index_file string"
+    # one row a file or shard: as many as the writing stage had tasks
+    names = spark.read.format("binaryFile").load(f"{path}/codes").select("path").collect()
+    for (name,) in names:
+        kind, part = name.rsplit("/kind=", 1)[1].split("/part-")
+        files[int(part.split("-")[0]), kind] = name
+    if files:
+        lines = spark.read.option("lineSep", mark).text(f"{path}/codes/kind=index")
+        index = lines.select(F.from_json("value", INDEX).alias("x")).select("x.*")
+        for r in index.groupBy("shard").agg(F.sum("n_tokens"), F.sum("n_docs")).orderBy("shard").collect():
+            rows.append((r[0], first, r[1], r[2], files[r[0], "code"], files[r[0], "index"]))
+            first += r[1]
+    spark.createDataFrame(rows, manifest).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+class TokenFiles:
+    """Single tokens of a file set: ``files[i]`` reads a few bytes of one file."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.mark = spark.read.parquet(f"{path}/about").first()["mark"]
+        self.shards = spark.read.parquet(f"{path}/manifest").orderBy("shard").collect()
+        self.firsts = [r["first_token"] for r in self.shards]
+        self.held: dict[int, tuple] = {}
+
+    def __len__(self) -> int:
+        return self.shards[-1]["first_token"] + self.shards[-1]["n_tokens"] if self.shards else 0
+
+    def _shard(self, k: int) -> tuple:
+        """(index rows by first token, their first tokens, open file) of the k-th shard."""
+        if k not in self.held:
+            row = self.shards[k]
+            lines = self.spark.read.option("lineSep", self.mark).text(row["index_file"])
+            index = lines.select(F.from_json("value", INDEX).alias("x")).select("x.*").orderBy("segment").collect()
+            jvm = self.spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(row["code_file"])
+            file = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+            self.held[k] = (index, [r["first_token"] for r in index], file)
+        return self.held[k]
+
+    def __getitem__(self, i: int) -> int:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = bisect_right(self.firsts, i) - 1
+        index, firsts, file = self._shard(k)
+        i -= self.firsts[k]
+        segment = index[bisect_right(firsts, i) - 1]
+        read = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray
+
+        def fetch(at: int, n: int) -> bytes:
+            file.seek(segment["start"] + at)
+            return bytes(read(file, min(n, segment["size"] - at)))
+
+        return Reader(fetch)[i - segment["first_token"]]
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row a document: the id column, start, n_tokens and ids (little-endian 4-byte ids)."""
-    segments = spark.read.parquet(f"{path}/segments")
+    about = spark.read.parquet(f"{path}/about").first()
     manifest = spark.read.parquet(f"{path}/manifest").select(
         "shard", F.col("first_token").alias("shard_start")
     )
-    kind = segments.schema["doc_ids"].dataType.elementType
     longs = T.LongType()
     schema = T.StructType(
         [
             T.StructField("shard", longs),
-            T.StructField(id_col, kind),
+            *T.StructType.fromDDL(f"`{id_col}` {about['id_type']}").fields,
             T.StructField("local_start", longs),
             T.StructField("n_tokens", longs),
             T.StructField("ids", T.BinaryType()),
         ]
     )
+    if manifest.isEmpty():
+        return spark.createDataFrame([], schema).select(col(id_col), F.col("local_start").alias("start"), "n_tokens", "ids")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                shard, first, keys, lengths, code = (c[i] for c in batch.columns)
-                ids = Reader(code.as_buffer()).all().astype("<u4")
-                sizes = lengths.values.to_numpy()
+            for record in batch.column(0):
+                data = record.as_buffer()
+                raw = memoryview(data)
+                (size,) = struct.unpack("<I", raw[-4:])
+                with pa.ipc.open_stream(data.slice(len(raw) - 4 - size, size)) as stream:
+                    first = int(stream.schema.metadata[b"first"])
+                    names = stream.read_all().combine_chunks()
+                ids = Reader(raw).all().astype("<u4").tobytes()
+                sizes = names.column("n").to_numpy()
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                raw = ids.tobytes()
-                cut = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+                cut = [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+                shard, keys = (names.column(c).combine_chunks() for c in ("shard", "id"))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(sizes), shard.as_py())),
-                        keys.values,
-                        pa.array(starts + first.as_py()),
-                        pa.array(sizes),
-                        pa.array(cut, pa.binary()),
-                    ],
+                    [shard, keys, pa.array(starts + first), pa.array(sizes), pa.array(cut, pa.binary())],
                     names=schema.names,
                 )
 
-    rows = segments.select("shard", "first_token", "doc_ids", "lengths", "code").mapInArrow(run, schema)
+    codes = spark.read.option("lineSep", about["mark"]).text(f"{path}/codes/kind=code")
+    rows = codes.select(F.col("value").cast("binary")).mapInArrow(run, schema)
     return rows.join(manifest, "shard").select(
         col(id_col), (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids"
     )

@@ -97,7 +97,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokencount.count_tokens(docs, scratch_path(spark, "token-counts"), keep_text=False)
+    cache = scratch_path(spark, "token-counts")
+    tokencount.store(docs.where(_remainder(8) == 0), cache)  # an earlier load: these are found, not encoded again
+    counted = tokencount.count_tokens(docs, cache, keep_text=False)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
@@ -156,20 +158,23 @@ WITH s AS (
   SELECT source, parts, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)))
            OVER (PARTITION BY source ORDER BY k) AS c
   FROM m, (SELECT unnest(range(0, 101)) AS k)
+), d AS (
+  SELECT row_number() OVER () AS rowid,
+         coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) || '|'
+           || (row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1) AS key, *
+  FROM documents
 ), u AS (
   SELECT rowid, source,
-         CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || part), 1, 13) AS BIGINT)
-           / 4503599627370496.0 AS u
-  FROM (SELECT row_number() OVER () AS rowid, doc_id, source FROM documents) d
+         CAST('0x' || substr(md5('17|' || key || '|' || part), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM d
   JOIN (SELECT source AS src, unnest(range(1, parts + 1)) AS part FROM m) p ON d.source IS NOT DISTINCT FROM p.src
 ), c AS (
   SELECT u.rowid, count(k.k) AS copies
   FROM u LEFT JOIN k ON u.source IS NOT DISTINCT FROM k.source AND k.c <= u.u GROUP BY u.rowid
 )
-SELECT d.* EXCLUDE (rowid), CAST(copy AS INT) AS copy,
-       CAST('0x' || substr(md5('17:order|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy), 1, 15) AS BIGINT)
-         AS shuffle_key
-FROM (SELECT row_number() OVER () AS rowid, * FROM documents) d
+SELECT d.* EXCLUDE (rowid, key), CAST(copy AS INT) AS copy,
+       CAST('0x' || substr(md5('17:order|' || key || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+FROM d
 JOIN (SELECT rowid, unnest(range(1, copies + 1)) AS copy FROM c) x ON d.rowid = x.rowid
 """
 

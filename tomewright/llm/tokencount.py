@@ -20,7 +20,7 @@ import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -61,6 +61,22 @@ def _encode_misses(texts: DataFrame, tokenizer: str, version: str) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(run, CACHE_SCHEMA)
 
 
+def _content(text_col: str) -> Column:
+    return F.coalesce(col(text_col).cast("string"), F.lit(""))
+
+
+def store(df: DataFrame, cache: str, text_col: str = "text", tokenizer: str | None = None) -> None:
+    """Append the counts of the distinct texts that ``cache`` does not hold yet."""
+    path = tokenizer or vocabulary_path("byte_bpe_50k.json")
+    version = version_of(path)
+    content = _content(text_col)
+    texts = df.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("text"))
+    if (stored := _stored(df.sparkSession, cache, version)) is not None:
+        texts = texts.join(stored, "digest", "left_anti")
+    misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    _encode_misses(misses, path, version).write.mode("append").parquet(cache)
+
+
 def count_tokens(
     df: DataFrame,
     cache: str,
@@ -73,20 +89,13 @@ def count_tokens(
     ``cache`` is a folder that all executors reach. ``keep_text=False`` leaves the text
     out of the result, and so out of the join.
     """
-    path = tokenizer or vocabulary_path("byte_bpe_50k.json")
-    version = version_of(path)
+    version = version_of(tokenizer or vocabulary_path("byte_bpe_50k.json"))
     spark = df.sparkSession
-    digest = fresh(df, "_t_digest")
-    content = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    key = F.unhex(F.sha2(content, 256))
-    texts = df.select(key.alias("digest"), content.alias("text"))
-    if (stored := _stored(spark, cache, version)) is not None:
-        texts = texts.join(stored, "digest", "left_anti")
-    misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
-    _encode_misses(misses, path, version).write.mode("append").parquet(cache)
+    digest, content = fresh(df, "_t_digest"), _content(text_col)
+    store(df, cache, text_col, tokenizer)
     # a table of its own, so that the join's two sides are plain exchanges, which can be split
     counts = written(_stored(spark, cache, version), "token-counts").select(col("digest").alias(digest), "n_tokens")
     gone = ["n_bytes", "n_tokens"] + ([] if keep_text else [text_col])
     keep = without(df, *gone)
-    rows = df.select(*keep, F.octet_length(content).cast("long").alias("n_bytes"), key.alias(digest))
+    rows = df.select(*keep, F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias(digest))
     return rows.join(counts, digest, "left").select(*keep, "n_bytes", "n_tokens")
