@@ -16,11 +16,15 @@ KEY = ["entity_type", "entity_id"]
 
 
 def postings(entities: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, term, tf) of (entity_type, entity_id, text)."""
+    """(entity_type, entity_id, term, tf, len) of (entity_type, entity_id, text), an entity being one row.
+
+    Every posting has its entity's length, so that ranking needs no join for it.
+    """
+    words = entities.select(*KEY, tokens(F.col("text")).alias("words"))
     return (
-        entities.select(*KEY, F.explode(tokens(F.col("text"))).alias("term"))
+        words.select(*KEY, F.size("words").cast("long").alias("len"), F.explode("words").alias("term"))
         .groupBy(*KEY, "term")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("*").alias("tf"), F.max("len").alias("len"))
     )
 
 
@@ -45,66 +49,76 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def store(entities: DataFrame, path: str, target: str = "term") -> None:
-    """Write the index of ``entities``: postings by type, dealt and sorted by term, and lengths.
+    """Write the index of ``entities``: postings by type, dealt and sorted by term, lengths, totals.
 
-    Sorted files let a query's term predicate skip row groups; a term's postings lie in
-    one shuffle partition, a very frequent one as a run of rows, never as one value.
+    Sorted files let a query's term predicate skip row groups. Terms are dealt by ranges of
+    (term, hash of the entity): a rare term lies in one file, one that every document has is
+    cut over as many as its postings fill.
     """
-    posted = postings(entities)
-    dealt = posted.repartition(target).sortWithinPartitions("entity_type", target)
+    spread = F.xxhash64(*KEY)
+    dealt = postings(entities).repartitionByRange(target, spread).sortWithinPartitions("entity_type", target)
     dealt.write.mode("overwrite").partitionBy("entity_type").parquet(f"{path}/postings")
-    stored = load(entities.sparkSession, path)[0]
+    stored, _, _ = load(entities.sparkSession, path)
     doc_stats(stored).write.mode("overwrite").partitionBy("entity_type").parquet(f"{path}/stats")
+    _, stats, _ = load(entities.sparkSession, path)
+    corpus_stats(stats).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def load(spark, path: str) -> tuple[DataFrame, DataFrame | None]:
-    """(postings, lengths) of a stored index."""
-    posted = spark.read.schema("entity_id long, term string, tf long, entity_type string").parquet(f"{path}/postings")
+def load(spark, path: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(postings, lengths, totals by type) of a stored index."""
+    posted = spark.read.schema("entity_id long, term string, tf long, len long, entity_type string").parquet(f"{path}/postings")
     stats = spark.read.schema("entity_id long, len long, entity_type string")
-    return posted.select(*KEY, "term", "tf"), _if_there(stats, f"{path}/stats")
+    totals = spark.read.schema("entity_type string, n long, avgdl double")
+    return (
+        posted.select(*KEY, "term", "tf", "len"),
+        _if_there(stats, f"{path}/stats", [*KEY, "len"]),
+        _if_there(totals, f"{path}/totals", ["entity_type", "n", "avgdl"]),
+    )
 
 
-def _if_there(reader, path: str) -> DataFrame | None:
+def _if_there(reader, path: str, columns: list[str]) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        return reader.parquet(path).select(*KEY, "len")
+        return reader.parquet(path).select(*columns)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
 
 
-def bm25(posted: DataFrame, terms: list[str], entity_type: str, stats: DataFrame | None = None) -> DataFrame:
-    """(entity_id, score, hits): BM25 over the distinct ``terms``; hits are the rarer terms met.
+def bm25_of(
+    posted: DataFrame, terms: list[str], entity_types: list[str], totals: DataFrame | None = None
+) -> DataFrame:
+    """(entity_type, entity_id, score, hits): BM25 over the distinct ``terms``; hits are the rarer terms met.
 
-    ``stats`` are stored lengths; without them they are summed from the postings. Only the
-    query's terms are read from the postings (the predicate reaches a Parquet
-    index); lengths are joined to the entities that match. The frequencies of the query's
-    terms (one row a term) and the type's totals (one row) are broadcast: their sizes are
-    bounded by the query.
+    ``totals`` are stored (entity_type, n, avgdl); without them they come from all postings.
+    Only the query's terms are read (the predicate reaches a Parquet index), and nothing is
+    shuffled but partial sums. The frequencies of the query's terms (one row a term) and the
+    totals (one row a type) are broadcast: their sizes are bounded by the query.
     """
-    wanted = sorted(set(terms))
-    matched = posted.where(F.col("term").isin(wanted))
-    if stats is None:
-        stats = doc_stats(posted.where(F.col("entity_type") == entity_type))
-    stats = stats.where(F.col("entity_type") == entity_type)
-    totals = corpus_stats(stats)
+    matched = posted.where(F.col("term").isin(sorted(set(terms))))
+    kinds = F.col("entity_type").isin(entity_types)
+    if totals is None:
+        totals = corpus_stats(doc_stats(posted.where(kinds)))
     found = (
-        matched.where(F.col("entity_type") == entity_type)
+        matched.where(kinds)
         .join(F.broadcast(term_df(matched)), "term")
-        .join(stats, KEY, "left")
-        .crossJoin(F.broadcast(totals.select("n", "avgdl")))
+        .join(F.broadcast(totals.where(kinds).select("entity_type", "n", "avgdl")), "entity_type")
     )
-    length = F.coalesce(F.col("len").cast("double"), F.col("avgdl"))
     weight = idf(F.col("n"), F.col("df"))
-    gain = weight * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * length / F.col("avgdl")))
-    return found.groupBy("entity_id").agg(
+    gain = weight * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    return found.groupBy(*KEY).agg(
         F.sum(gain).alias("score"),
         F.array_sort(F.collect_set(F.when(weight > HIT_IDF, F.col("term")))).alias("hits"),
     )
 
 
+def bm25(posted: DataFrame, terms: list[str], entity_type: str, totals: DataFrame | None = None) -> DataFrame:
+    """(entity_id, score, hits) of one type: see :func:`bm25_of`."""
+    return bm25_of(posted, terms, [entity_type], totals).drop("entity_type")
+
+
 def upsert(posted: DataFrame, entities: DataFrame) -> DataFrame:
     """The index after ``entities`` are written: their old postings go, the new ones come."""
     kept = posted.join(entities.select(*KEY).distinct(), KEY, "left_anti")

@@ -60,8 +60,8 @@ def bm25_sql(name: str, kind: str, terms: list[str]) -> str:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of all entities, built once an application and folder.
+def stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, lengths, totals) of all entities, built once an application and folder.
 
     The index is a table in the shared folder: queries read the terms they ask for.
     """
@@ -85,8 +85,8 @@ def index_build(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _args(spark: SparkSession, d: str, kind: str) -> tuple:
-    rows, lengths = stored(spark, d)
-    return rows, TERMS, kind, lengths
+    rows, _, totals = stored(spark, d)
+    return rows, TERMS, kind, totals
 
 
 def _bm25(kind: str):
@@ -171,11 +171,14 @@ def _hybrid(**kw):
         extra = dict(kw)
         if extra.pop("acl", False):
             extra["allowed_files"] = M.files(spark, d).where(~F.col("private")).select("id")
-        rows, lengths = stored(spark, d)
+            extra["allowed_notes"] = M.notes(spark, d).where(F.col("id") % 5 != 0).select("id")
+        if extra.pop("vectors", False):
+            extra["vector_scores"] = chunk_vector_scores(spark, d)
+        rows, _, totals = stored(spark, d)
         found = S.search_all(
-            rows, M.files(spark, d), M.notes(spark, d), M.chunks(spark, d), Q, M.AS_OF, stats=lengths, **extra
+            rows, M.files(spark, d), M.notes(spark, d), M.chunks(spark, d), Q, M.AS_OF, totals=totals, **extra
         )
-        return found.limit(50)
+        return found.limit(50).select("type", "id", "title", "score")
 
     return run
 
@@ -194,23 +197,69 @@ _RECENCY_SQL = f"CASE WHEN {_DAYS} <= 1 THEN 0.35 WHEN {_DAYS} <= 7 THEN 0.22 WH
 _BOOST_SQL = f"{_TAG_SQL} * 0.9 + CASE WHEN pinned THEN 0.5 ELSE 0 END + CASE WHEN starred THEN 0.3 ELSE 0 END + {_RECENCY_SQL}"
 
 
-def _hybrid_oracle(files: str = "", notes: str = "") -> str:
-    return f"""WITH {INDEX_SQL}{bm25_sql("fb", "file", TERMS)}{bm25_sql("cb", "chunk", TERMS)}{bm25_sql("nb", "note", TERMS)}, rolled AS (
-  SELECT file_id AS id, sum(score) * 0.85 AS chunk_score FROM cb JOIN chunks ON chunk_id = entity_id GROUP BY file_id
-), s AS (
-  SELECT coalesce(fb.entity_id, rolled.id) AS id, coalesce(score, 0) + coalesce(chunk_score, 0) AS base
-  FROM fb FULL JOIN rolled ON fb.entity_id = rolled.id
+def _items_sql(files: str = "", notes: str = "", vectors: bool = False, words: bool = True) -> str:
+    """Common table expressions up to ``items`` (type, id, title, updated_at, score)."""
+    keep = "" if words else " WHERE FALSE"
+    near = f"""SELECT vec_id * 10000000 AS chunk_id, list_sum(list_transform(list_zip(embedding, qv), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s
+  FROM embeddings, (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0)"""
+    vector = (
+        f"SELECT file_id AS id, 0 AS own, 0 AS chunk, s * 4.2 AS vector FROM (SELECT * FROM ({near}) WHERE s >= 0.08 ORDER BY s DESC, chunk_id LIMIT 80) JOIN chunks USING (chunk_id)"
+        if vectors
+        else "SELECT 0, 0, 0, 0 WHERE FALSE"
+    )
+    return f"""WITH {INDEX_SQL}{bm25_sql("fb", "file", TERMS)}{bm25_sql("cb", "chunk", TERMS)}{bm25_sql("nb", "note", TERMS)}, s AS (
+  SELECT id, sum(own) + sum(chunk) * 0.85 + max(vector) AS base FROM (
+    SELECT entity_id AS id, score AS own, 0 AS chunk, 0 AS vector FROM fb{keep}
+    UNION ALL SELECT file_id, 0, score, 0 FROM (SELECT * FROM cb{keep}) JOIN chunks ON chunk_id = entity_id
+    UNION ALL {vector}) GROUP BY id
 ), items AS (
   SELECT 'file' AS type, id, title, updated_at, base + {_title_boost_sql("title")} + {_BOOST_SQL} AS score
   FROM files JOIN s USING (id) WHERE NOT deleted {files}
   UNION ALL
   SELECT 'note', id, title, updated_at, score + {_title_boost_sql("title")} * 1.15 + {_BOOST_SQL}
-  FROM notes JOIN nb ON nb.entity_id = id WHERE NOT deleted {notes}
-)
+  FROM notes JOIN (SELECT * FROM nb{keep}) nb ON nb.entity_id = id WHERE NOT deleted {notes}
+)"""
+
+
+def _hybrid_oracle(files: str = "", notes: str = "", vectors: bool = False, words: bool = True) -> str:
+    return f"""{_items_sql(files, notes, vectors, words)}
 SELECT type, id, title, round(score, 4) AS score FROM items WHERE score > 0
 ORDER BY round(items.score, 4) DESC, updated_at DESC, type, id LIMIT 50"""
 
 
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of files of two kinds, with the total, matched terms and highlighted snippets."""
+    files, notes, chunks = M.files(spark, d), M.notes(spark, d), M.chunks(spark, d)
+    rows, _, totals = stored(spark, d)
+    found = S.search_all(rows, files, notes, chunks, Q, M.AS_OF, totals=totals, types=("file",), exts=["MD", "txt"])
+    shown = S.with_snippets(S.page(found, 10, 10), files, notes, chunks, Q)
+    return shown.select("type", "id", "score", F.array_join("hits", ",").alias("hits"), "best_chunk", "total", "snippet")
+
+
+def recent_files(spark: SparkSession, d: str) -> DataFrame:
+    return S.recent(M.files(spark, d), 7, M.AS_OF).select("id", F.col("updated_at").cast("date").cast("string").alias("day"))
+
+
+def suggest_tags(spark: SparkSession, d: str) -> DataFrame:
+    return S.suggest_tags(M.files(spark, d), M.notes(spark, d), "TA", 8)
+
+
+def retrieve_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval for a user who may not see private files, from a least score on."""
+    rows, _, totals = stored(spark, d)
+    open_ = M.files(spark, d).where(~F.col("private")).select("id")
+    return S.retrieve(
+        rows, M.chunks(spark, d), M.files(spark, d), Q, chunk_vector_scores(spark, d), 20, totals=totals, allowed_files=open_, min_score=2.0
+    )
+
+
+def retrieve_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval within four files, one of them trashed: each of the others is represented."""
+    rows, _, totals = stored(spark, d)
+    found = S.retrieve(rows, M.chunks(spark, d), M.files(spark, d), "zzz qqq", None, 6, file_ids=[3, 5, 11, 29], totals=totals)
+    return found.select("chunk_id", "file_id", "score")
+
+
 def fuzzy_fallback(spark: SparkSession, d: str) -> DataFrame:
     return S.fallback(M.files(spark, d), M.notes(spark, d), "hean ")
 
@@ -224,14 +273,14 @@ def chunk_vector_scores(spark: SparkSession, d: str) -> DataFrame:
     vectors = M.table(spark, d, "embeddings").select("vec_id", "embedding")
     query = vectors.where(F.col("vec_id") == 0).select(F.col("embedding").alias("q"))  # one row
     return vectors.crossJoin(F.broadcast(query)).select(
-        (F.col("vec_id") * 100_000).alias("chunk_id"), V.dot(F.col("embedding"), F.col("q")).alias("score")
+        (F.col("vec_id") * 10_000_000).alias("chunk_id"), V.dot(F.col("embedding"), F.col("q")).alias("score")
     )
 
 
 def rrf_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    rows, lengths = stored(spark, d)
+    rows, _, totals = stored(spark, d)
     return S.retrieve(
-        rows, M.chunks(spark, d), M.files(spark, d), Q, chunk_vector_scores(spark, d), top_k=20, stats=lengths
+        rows, M.chunks(spark, d), M.files(spark, d), Q, chunk_vector_scores(spark, d), top_k=20, totals=totals
     )
 
 
@@ -241,7 +290,7 @@ RRF_SQL = f"""WITH {INDEX_SQL}{bm25_sql("cb", "chunk", TERMS)}, w AS (
   FROM cb ORDER BY score DESC, entity_id LIMIT 200
 ), q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0
 ), dots AS (
-  SELECT vec_id * 100000 AS chunk_id,
+  SELECT vec_id * 10000000 AS chunk_id,
     list_sum(list_transform(list_zip(embedding, qv), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS score
   FROM embeddings, q
 ), v AS (
@@ -283,12 +332,7 @@ def graph_edges_top3(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("label").orderBy("vec_id")
     first = M.table(spark, d, "embeddings").withColumn("r", F.row_number().over(w)).where(F.col("r") <= 10)
     nodes = V.centroid(first, "label", "embedding")
-    a, b = nodes.toDF("i", "x"), nodes.toDF("j", "y")
-    pairs = a.join(b, F.col("i") != F.col("j")).select("i", "j", V.dot(F.col("x"), F.col("y")).alias("s"))
-    best = pairs.where(F.col("s") > -1).withColumn(
-        "r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("s", 9)), "j"))
-    )
-    return best.where((F.col("r") <= 3) & (F.col("i") < F.col("j"))).select("i", "j", F.round("s", 3).alias("weight"))
+    return S.graph_edges(nodes, "label", "centroid", min_score=-1.0)
 
 
 def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -376,6 +420,15 @@ QUERIES = {
     "hybrid_search": _hybrid(),
     "hybrid_search_filtered": _hybrid(workspaces=["en"], tags=["TOPIC1", "tag2"], starred_only=True),
     "hybrid_search_acl": _hybrid(acl=True),
+    "hybrid_vector": _hybrid(vectors=True),
+    "search_notes_only": _hybrid(types=("note",)),
+    "search_exts": _hybrid(exts=["MD", "csv"]),
+    "vector_only": _hybrid(vectors=True, mode="vector"),
+    "search_page": search_page,
+    "recent_files": recent_files,
+    "suggest_tags": suggest_tags,
+    "retrieve_allowed": retrieve_allowed,
+    "retrieve_scoped": retrieve_scoped,
     "fuzzy_fallback": fuzzy_fallback,
     "suggest_union": suggest_union,
     "rrf_retrieve": rrf_retrieve,
@@ -395,6 +448,10 @@ _SNIPPET_AT = "list_min(list_filter([" + ", ".join(
     f"[instr(lower(text), '{t.lower()}'), {i}, {len(t)}]" for i, t in enumerate(X.query_terms(Q))
 ) + "], lambda x: x[1] > 0))"
 
+_MARKED_SQL = f"""replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(sn, '({"|".join(X.query_terms(Q))})', chr(1) || '\\1' || chr(2), 'gi'),
+  '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(1), '<mark>'), chr(2), '</mark>')"""
+
 ORACLE_SQL = {
     "index_build": f"WITH {INDEX_SQL} SELECT entity_type, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tokens FROM posted GROUP BY entity_type",
     "bm25_files": f"""WITH {INDEX_SQL}{bm25_sql("b", "file", TERMS)}, best AS (
@@ -405,9 +462,7 @@ ORACLE_SQL = {
   SELECT entity_id, title, score, CASE WHEN m IS NULL THEN substr(text, 1, 220) || CASE WHEN length(text) > 220 THEN '…' ELSE '' END
     ELSE CASE WHEN st > 0 THEN '…' ELSE '' END || substr(text, st + 1, en - st) || CASE WHEN en < length(text) THEN '…' ELSE '' END END AS sn FROM k
 )
-SELECT entity_id, title, score, replace(replace(replace(replace(replace(replace(replace(
-  regexp_replace(sn, '({"|".join(X.query_terms(Q))})', chr(1) || '\\1' || chr(2), 'gi'),
-  '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), chr(1), '<mark>'), chr(2), '</mark>') AS snippet FROM n""",
+SELECT entity_id, title, score, {_MARKED_SQL} AS snippet FROM n""",
     "bm25_file_scores": _bm25_oracle("file"),
     "bm25_note_scores": _bm25_oracle("note"),
     "bm25_chunk_scores": _bm25_oracle("chunk"),
@@ -430,7 +485,39 @@ SELECT 'note' AS entity_type, id AS entity_id, CAST(len({tokens_sql("text")}) AS
         "AND workspace = 'en' AND starred AND len(list_filter(tags, lambda t: lower(t) IN ('topic1', 'tag2'))) > 0",
         "AND workspace = 'en' AND starred AND len(list_filter(tags, lambda t: lower(t) IN ('topic1', 'tag2'))) > 0",
     ),
-    "hybrid_search_acl": _hybrid_oracle("AND NOT private"),
+    "hybrid_search_acl": _hybrid_oracle("AND NOT private", "AND id % 5 <> 0"),
+    "hybrid_vector": _hybrid_oracle(vectors=True),
+    "search_notes_only": _hybrid_oracle("AND FALSE"),
+    "search_exts": _hybrid_oracle("AND ext IN ('md', 'csv')", "AND FALSE"),
+    "vector_only": _hybrid_oracle(vectors=True, words=False),
+    "search_page": f"""{_items_sql("AND ext IN ('md', 'txt')", "AND FALSE")}, pg AS (
+  SELECT type, id, score, (SELECT count(*) FROM items WHERE score > 0) AS total FROM items WHERE score > 0
+  ORDER BY round(items.score, 4) DESC, updated_at DESC, type, id LIMIT 10 OFFSET 10
+), hb AS (
+  SELECT id, list_sort(list_distinct(flatten(list(hits)))) AS hits FROM (
+    SELECT entity_id AS id, hits FROM fb UNION ALL SELECT file_id, hits FROM cb JOIN chunks ON chunk_id = entity_id) GROUP BY id
+), bc AS (
+  SELECT file_id AS id, chunk_id AS best_chunk, text AS chunk_text FROM cb JOIN chunks ON chunk_id = entity_id
+  QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, chunk_id) = 1
+), t AS (
+  SELECT pg.*, hits, best_chunk, coalesce(chunk_text, files.text) AS text FROM pg JOIN files USING (id) LEFT JOIN hb USING (id) LEFT JOIN bc USING (id)
+), s2 AS (SELECT *, {_SNIPPET_AT} AS m FROM t
+), k AS (SELECT *, greatest(0, m[1] - 1 - 120) AS st, least(length(text), m[1] - 1 + m[3] + 120) AS en FROM s2
+), n AS (
+  SELECT *, CASE WHEN m IS NULL THEN substr(text, 1, 220) || CASE WHEN length(text) > 220 THEN '…' ELSE '' END
+    ELSE CASE WHEN st > 0 THEN '…' ELSE '' END || substr(text, st + 1, en - st) || CASE WHEN en < length(text) THEN '…' ELSE '' END END AS sn FROM k
+)
+SELECT type, id, round(score, 4) AS score, array_to_string(hits[1:12], ',') AS hits, best_chunk, total, {_MARKED_SQL} AS snippet FROM n""",
+    "recent_files": f"WITH {M.MODEL_SQL} SELECT id, CAST(CAST(updated_at AS DATE) AS VARCHAR) AS day FROM files WHERE updated_at >= TIMESTAMP '{M.AS_OF}' - INTERVAL 7 DAY",
+    "suggest_tags": f"""WITH {M.MODEL_SQL}, t AS (SELECT unnest(tags) AS tag FROM files UNION SELECT unnest(tags) FROM notes)
+SELECT tag FROM t WHERE contains(lower(tag), 'ta') ORDER BY tag LIMIT 8""",
+    "retrieve_allowed": RRF_SQL.replace("FROM files WHERE NOT deleted", "FROM files WHERE NOT deleted AND NOT private").replace(
+        "FROM scored)", "FROM scored WHERE score >= 2)"
+    ),
+    "retrieve_scoped": f"""WITH {M.MODEL_SQL}, r AS (
+  SELECT chunk_id, file_id, idx, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS r FROM chunks
+  WHERE file_id IN (3, 5, 11, 29) AND file_id IN (SELECT id FROM files WHERE NOT deleted))
+SELECT chunk_id, file_id, 0.0::DOUBLE AS score FROM r WHERE r <= 2 ORDER BY file_id, idx LIMIT 6""",
     "fuzzy_fallback": f"""WITH {M.MODEL_SQL}
 SELECT * FROM (SELECT 'file' AS type, id, CASE WHEN contains(lower(title), 'hean ') THEN 1.6 ELSE 0.9 END AS score FROM files
   WHERE NOT deleted AND (contains(lower(title), 'hean ') OR contains(lower(text), 'hean ')) ORDER BY score DESC, id LIMIT 200)
@@ -445,7 +532,7 @@ SELECT type, id, title FROM u ORDER BY updated_at DESC, type, id LIMIT 8""",
   SELECT chunk_id, file_id, idx, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS r FROM chunks WHERE file_id IN (3, 5, 11))
 SELECT chunk_id, file_id, idx FROM r WHERE r <= 3 ORDER BY file_id, idx LIMIT 8""",
     "cosine_topk": f"""WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
-s AS (SELECT vec_id * 100000 AS chunk_id, {_DOT_XY.format(a="embedding", b="qv")} AS score FROM embeddings, q)
+s AS (SELECT vec_id * 10000000 AS chunk_id, {_DOT_XY.format(a="embedding", b="qv")} AS score FROM embeddings, q)
 SELECT chunk_id, round(score, 6) AS score FROM s WHERE score >= 0.08 ORDER BY s.score DESC, chunk_id LIMIT 60""",
     "centroid_related": f"""WITH own AS (SELECT embedding AS e FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 24),
 p AS (SELECT i, avg(CAST(e[i] AS DOUBLE)) AS x FROM own, (SELECT unnest(range(1, 65)) AS i) GROUP BY i),

@@ -70,7 +70,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
         .where(F.length(F.trim("text")) > 0)
         .select(
-            (F.col("doc_id") * 100_000 + F.col("idx")).alias("chunk_id"),
+            (F.col("doc_id") * 10_000_000 + F.col("idx")).alias("chunk_id"),
             F.col("doc_id").alias("file_id"),
             F.col("lang").alias("workspace"),
             F.col("idx").cast("long").alias("idx"),
@@ -108,7 +108,7 @@ MODEL_SQL = f"""files AS (
     item_id % 4 = 0 AS starred, FALSE AS private, {_COMMON_SQL.format(k="item_id")}
   FROM benchmark
 ), chunks AS (
-  SELECT doc_id * 100000 + idx - 1 AS chunk_id, doc_id AS file_id, lang AS workspace, idx - 1 AS idx, ls[idx] AS text
+  SELECT doc_id * 10000000 + idx - 1 AS chunk_id, doc_id AS file_id, lang AS workspace, idx - 1 AS idx, ls[idx] AS text
   FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS idx
         FROM documents)
   WHERE length(trim(ls[idx], ' ')) > 0
