@@ -14,6 +14,8 @@ FALLBACK = "/tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors reach: ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or FALLBACK).rstrip("/")
 
 

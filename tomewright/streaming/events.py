@@ -21,18 +21,20 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a streaming query over what its source has now; the last full result as a table.
+def run_to_end(stream: DataFrame, mode: str, name: str, path: str | None = None, key: str | None = None) -> DataFrame:
+    """Run a streaming query over what its source has now; the result so far as a table.
 
-    ``complete`` overwrites the table in every batch, ``append`` adds to it. State and
-    offsets are checkpointed in the shared folder, so a restart goes on where it was.
+    A batch overwrites a folder of its number, so one that runs again after a failure is
+    not written twice. ``complete`` reads the last batch, ``append`` all of them, ``update``
+    the last row of each ``key``. With a ``path`` of the caller's, state, offsets and results
+    stay there and the next call goes on where this one ended.
     """
     spark = stream.sparkSession
-    path = scratch(spark, name)
-    schema = stream.schema
+    path = path or scratch(spark, name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/data")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -42,7 +44,14 @@ def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/data")
+    found = spark.read.schema(schema).option("basePath", f"{path}/data").parquet(f"{path}/data")
+    if mode == "complete":
+        found = found.where(F.col("batch") == (found.agg(F.max("batch")).first()[0] or 0))
+    elif mode == "update":
+        columns = [c for c in stream.columns if c != key]
+        last = found.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+        return last.select(key, "r.*").select(*stream.columns)
+    return found.select(*stream.columns)
 
 
 def daily_windows(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -56,8 +65,52 @@ def daily_windows(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def running_counters(stream: DataFrame, key: str = "user_id", value: str = "value") -> DataFrame:
-    """Totals by key, never below 0."""
-    return stream.groupBy(key).agg(F.greatest(F.lit(0.0), F.round(F.sum(value), 4)).alias("used"), F.count("*").alias("n"))
+    """(key, used, n): totals by key, floored at 0 after every change, for update mode.
+
+    Changes of a batch apply in order of (ts, event_id). From a total u, changes with prefix
+    sums S_1 .. S_n end at S_n + max(u, -min S_k), so a batch of a key is one vector.
+    """
+    schema = T.StructType([stream.schema[key], *T.StructType.fromDDL("used double, n long").fields])
+
+    def step(keys, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        used, n = state.get if state.exists else (0.0, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        sums = rows[value].fillna(0.0).cumsum().to_numpy()
+        if len(sums):
+            used, n = float(sums[-1] + max(used, -sums.min())), n + len(sums)
+        state.update((used, n))
+        yield pd.DataFrame([(keys[0], used, n)], columns=[key, "used", "n"])
+
+    changes = stream.select(key, "ts", "event_id", value)
+    return changes.groupBy(key).applyInPandasWithState(step, schema, "used double, n long", "update", "NoTimeout")
+
+
+def jobs(requests: DataFrame, texts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(id, state, chars): what processing the requested files gives: ok, empty or failed.
+
+    ``texts`` (id, text, error) is what extraction gave; a file without a row is still
+    pending. ``stored`` (id, state, chars) are earlier results: a file that is ok there is
+    not processed again unless the request is ``force``.
+    """
+    last = requests.groupBy("id").agg(F.max("force").alias("force"))
+    found = last.join(texts, "id", "left")
+    chars = F.length(F.trim(F.coalesce("text", F.lit("")))).cast("long")
+    state = (
+        F.when(F.col("error").isNotNull(), "failed")
+        .when(F.col("text").isNull(), "pending")
+        .when(chars == 0, "empty")
+        .otherwise("ok")
+    )
+    now = found.select("id", "force", state.alias("state"), chars.alias("chars"))
+    if stored is None:
+        return now.drop("force")
+    old = stored.select("id", F.col("state").alias("old"), F.col("chars").alias("old_chars"))
+    cached = (F.col("old") == "ok") & ~F.col("force")
+    return now.join(old, "id", "left").select(
+        "id",
+        F.when(cached, F.col("old")).otherwise(F.col("state")).alias("state"),
+        F.when(cached, F.col("old_chars")).otherwise(F.col("chars")).alias("chars"),
+    )
 
 
 def queue(stream: DataFrame, key: str = "user_id") -> DataFrame:
@@ -72,7 +125,8 @@ def versions(stream: DataFrame, gap_seconds: float = 40, delta: float = 400) ->
 
     A change is stored if it is forced, if more than ``gap_seconds`` went by since the
     last stored one, or if the size moved by more than ``delta``. Input (note, ts, size,
-    forced); state is one row a note, so a hot note costs time, not memory.
+    forced); state is one row a note. A task holds one note's changes of one batch, which the
+source's files a trigger bound. The newest ``catalog.newest(..., 30)`` are kept.
     """
     schema = "note long, ts timestamp, size double"
 
@@ -148,18 +202,17 @@ def publish(stream: DataFrame, topics: dict[str, Callable[[DataFrame], None]], t
 
 
 def live_index(changes: DataFrame, path: str):
-    """A streaming query that keeps postings at ``path`` up to date with changed entities.
+    """A streaming query that keeps an index at ``path`` up to date with changed entities.
 
-    Each batch writes a new generation beside the old one and then the pointer to it, so
-    readers always see a whole index and a batch can be run again.
+    A batch writes the postings of its entities and their keys, each in a folder of its
+    number by overwrite, so it can run again and costs what changed, not what is indexed.
+    :func:`current_index` reads the last state of every entity; :func:`compact` merges.
     """
-    spark = changes.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        w_last = batch.groupBy(*index.KEY).agg(F.max_by("text", "ts").alias("text"))
-        before = current_index(spark, path, number - 1)
-        after = index.upsert(before, w_last) if before is not None else index.postings(w_last)
-        after.write.mode("overwrite").parquet(f"{path}/generation={number}")
+        last = batch.groupBy(*index.KEY).agg(F.max_by("text", "ts").alias("text"))
+        index.postings(last).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        last.select(*index.KEY).write.mode("overwrite").parquet(f"{path}/keys/batch={number}")
 
     return (
         changes.writeStream.option("checkpointLocation", f"{path}-checkpoint")
@@ -169,8 +222,21 @@ def live_index(changes: DataFrame, path: str):
     )
 
 
-def current_index(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    return spark.read.parquet(f"{path}/generation={number}") if number >= 0 else None
+LIVE = "entity_type string, entity_id long, term string, tf long, len long, batch long"
+
+
+def current_index(spark: SparkSession, path: str) -> DataFrame:
+    """The postings of every entity as of the last batch that had it."""
+    keys = spark.read.schema("entity_type string, entity_id long, batch long").parquet(f"{path}/keys")
+    last = keys.groupBy(*index.KEY).agg(F.max("batch").alias("batch"))
+    return spark.read.schema(LIVE).parquet(f"{path}/postings").join(last, [*index.KEY, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """Write the current index as one batch (number 0) of a new folder, between two runs of the stream."""
+    current = current_index(spark, path)
+    current.repartitionByRange("term", F.xxhash64(*index.KEY)).sortWithinPartitions("term").write.parquet(f"{to}/postings/batch=0")
+    spark.read.schema(LIVE).parquet(f"{to}/postings").select(*index.KEY).distinct().write.parquet(f"{to}/keys/batch=0")
 
 
 class ThinkFilter:
