@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tomewright.sources.storage import scratch
 
 # Ordinals of permissions, and the permission that each team role gives.
 PERMISSIONS = {"none": 0, "view": 1, "comment": 2, "edit": 3, "manage": 4}
@@ -110,21 +113,52 @@ def delete_where_in(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 50, start: DataFrame | None = None) -> DataFrame:
     """(ancestor, node, depth): every node with each of its ancestors and itself (depth 0).
 
-    A recursive query with a depth guard, so cycles end; where a node is reached twice its
-    least depth counts.
+    Without ``start`` paths double: those of up to 2^k steps join those of exactly 2^k, so a
+    tree of depth 50 takes six joins, each a table in the shared folder. With ``start``
+    (node) the walk begins at those nodes and takes a step a join. Cycles end at
+    ``max_depth``; where a node is reached twice its least depth counts.
     """
     spark = edges.sparkSession
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, at, depth) AS (
-          SELECT c, c, 0 FROM _edges
-          UNION ALL SELECT up.node, e.p, up.depth + 1 FROM up JOIN _edges e ON e.c = up.at
-          WHERE e.p IS NOT NULL AND up.depth < {max_depth})
-        SELECT at AS ancestor, node, min(depth) AS depth FROM up GROUP BY at, node"""
-    )
+    up = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"))
+    least = lambda df: df.groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
+    itself = up.select("node") if start is None else start.select("node")
+    paths = itself.distinct().select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    step = up.where(F.col("ancestor").isNotNull()).distinct()
+    if start is None:
+        # the first table holds self and parents
+        known = paths.unionByName(step.select("ancestor", "node", F.lit(1).alias("depth")))
+        known, reach = _written(spark, least(known), "closure"), 1
+        while reach < max_depth:
+            last = known.where(F.col("depth") == reach)
+            more = last.select("node", F.col("ancestor").alias("mid")).join(
+                known.where("depth > 0").select(F.col("node").alias("mid"), "ancestor", "depth"), "mid"
+            )
+            more = more.select("ancestor", "node", (F.col("depth") + reach).alias("depth")).where(F.col("depth") <= max_depth)
+            more = _written(spark, more, "closure")
+            if more.isEmpty():
+                return known
+            known, reach = _written(spark, least(known.unionByName(more)), "closure"), 2 * reach
+        return known
+    known = frontier = _written(spark, paths, "closure")
+    for depth in range(1, max_depth + 1):
+        moved = frontier.select(F.col("ancestor").alias("mid"), F.col("node").alias("from")).join(
+            step.select(F.col("node").alias("mid"), "ancestor"), "mid"
+        )
+        moved = moved.select("ancestor", F.col("from").alias("node"), F.lit(depth).alias("depth")).distinct()
+        frontier = _written(spark, moved.join(known, ["ancestor", "node"], "left_anti").select("ancestor", "node", "depth"), "closure")
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+    return known
+
+
+def _written(spark, df: DataFrame, name: str) -> DataFrame:
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def rollup_tree(closed: DataFrame, counts: DataFrame, node: str, value: str) -> DataFrame:
@@ -144,15 +178,73 @@ def allowed_ids(items: DataFrame, shares: DataFrame, user: int, teams: DataFrame
     return open_.union(direct).union(by_team).distinct()
 
 
-def effective_permission(items: DataFrame, shares: DataFrame, user: int, workspace_level: Column, as_of: str) -> DataFrame:
+def live_shares(shares: DataFrame, user: int, teams: DataFrame, as_of: str) -> DataFrame:
+    """Shares with the user or one of the user's teams that have not run out."""
+    live = shares.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of).cast("timestamp")))
+    mine = teams.where(F.col("user_id") == user).select(
+        F.lit("team").alias("grantee_type"), F.col("team_id").cast("long").alias("grantee_id")
+    )
+    grantees = mine.union(teams.sparkSession.range(1).select(F.lit("user"), F.lit(user).cast("long")))
+    return live.join(grantees, ["grantee_type", "grantee_id"], "left_semi")
+
+
+def workspace_permission(workspaces: DataFrame, members: DataFrame, shares: DataFrame, user: int, as_of: str) -> DataFrame:
+    """(id, role, permission): owner, else the role in the workspace's team, else the best share, else none.
+
+    ``workspaces`` (id, owner, team_id), ``members`` (team_id, user_id, role) the active ones,
+    ``shares`` (id: the workspace's, grantee_type, grantee_id, permission, expires_at).
+    """
+    mine = members.where(F.col("user_id") == user).select("team_id", F.col("role").alias("team_role"))
+    best = live_shares(shares, user, members, as_of).groupBy("id").agg(F.max(ordinal(F.col("permission"))).alias("shared"))
+    roles = F.create_map(*[F.lit(x) for p in ROLE_PERMISSION.items() for x in p])
+    found = workspaces.join(mine, "team_id", "left").join(best, "id", "left")
+    owner = F.col("owner") == user
+    role = F.when(owner, "owner").when(F.col("team_role").isNotNull(), F.col("team_role")).when(F.col("shared") > 0, "guest")
+    given = (
+        F.when(owner, "manage")
+        .when(F.col("team_role").isNotNull(), F.coalesce(roles[F.col("team_role")], F.lit("view")))
+        .when(F.col("shared") > 0, permission_name(F.col("shared")))
+    )
+    return found.select("id", F.coalesce(role, F.lit("none")).alias("role"), F.coalesce(given, F.lit("none")).alias("permission"))
+
+
+def share_by_token(shares: DataFrame, token: str, as_of: str) -> DataFrame:
+    """The share of a link, unless it has run out."""
+    live = F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(as_of).cast("timestamp"))
+    return shares.where((F.col("token") == token) & live)
+
+
+def rename_tag(df: DataFrame, old: str, new: str) -> DataFrame:
+    """``tags`` with every spelling of ``old`` replaced; the tag of that name keeps its places."""
+    return df.withColumn("tags", F.transform("tags", lambda t: F.when(F.lower(t) == old.lower(), new).otherwise(t)))
+
+
+def delete_tag(df: DataFrame, name: str) -> DataFrame:
+    """``tags`` without any spelling of ``name``."""
+    return df.withColumn("tags", F.filter("tags", lambda t: F.lower(t) != name.lower()))
+
+
+def audit(entries: DataFrame, as_of: str) -> DataFrame:
+    """Rows of the audit log: details cut at 500 characters, missing fields empty, stamped."""
+    text = lambda c, n: F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, n)
+    return entries.select(
+        "user_id", text("action", 200).alias("action"), text("target", 200).alias("target"),
+        text("detail", 500).alias("detail"), F.lit(as_of).cast("timestamp").alias("created_at"),
+    )
+
+
+def load_missing(stored: DataFrame, offered: DataFrame, name: str) -> DataFrame:
+    """The offered rows whose name is not stored yet, once each."""
+    return offered.dropDuplicates([name]).join(stored.select(name), name, "left_anti").select(*offered.columns)
+
+
+def effective_permission(
+    items: DataFrame, shares: DataFrame, user: int, workspace_level: Column, as_of: str, teams: DataFrame
+) -> DataFrame:
     """(id, permission): manage for the creator; the share for private items; else the greater of
-    the workspace's level and the share's."""
+    the workspace's level and the share's. Shares of the user's ``teams`` (team_id, user_id) count."""
     best = (
-        shares.where(
-            (F.col("grantee_type") == "user")
-            & (F.col("grantee_id") == user)
-            & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of).cast("timestamp")))
-        )
+        live_shares(shares, user, teams, as_of)
         .groupBy("id")
         .agg(F.max(ordinal(F.col("permission"))).alias("shared"))
     )
@@ -166,18 +258,30 @@ def effective_permission(items: DataFrame, shares: DataFrame, user: int, workspa
 
 
 def quota_greedy(files: DataFrame, owner: str, order: str, size: str, quota: int) -> DataFrame:
-    """(owner, id) of accepted files: in order, a file that does not fit is skipped, later ones may fit."""
-    item = F.struct(F.col(order).alias("o"), F.col("id").alias("id"), F.col(size).cast("long").alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        start,
-        lambda a, x: F.when(
-            a["used"] + x["n"] <= quota,
-            F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["ids"], F.array(x["id"].cast("long"))).alias("ids")),
-        ).otherwise(a),
-    )
-    return files.groupBy(owner).agg(kept.alias("k")).select(owner, F.explode("k.ids").alias("id"))
+    """(owner, id) of accepted files: in order, a file that does not fit is skipped, later ones may fit.
+
+    Files are dealt by owner and sorted; a task streams through them with one number of
+    state, so an owner's files are never held together.
+    """
+    schema = T.StructType([files.schema[owner], T.StructField("id", files.schema["id"].dataType)])
+    dealt = files.select(owner, "id", F.col(size).cast("long").alias("n"), F.col(order).alias("o"))
+    dealt = dealt.repartition(owner).sortWithinPartitions(owner, "o", "id").select(owner, "id", "n")
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, used, first = None, 0, True
+        for batch in batches:
+            keep = []
+            for who, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if first or who != now:
+                    now, used, first = who, 0, False
+                fits = used + (n or 0) <= quota
+                used += (n or 0) if fits else 0
+                keep.append(fits)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(run, schema)
 
 
 def unique_names(df: DataFrame, folder: str, name: str, order: str) -> Column:

@@ -35,8 +35,8 @@ def exists_text_like(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a page of the same number whose markup mentions a word, or a short text."""
     docs = T(spark, d, "documents").select("doc_id", "n_chars")
     pages = T(spark, d, "pages").where(F.contains(F.lower("html"), F.lit("the"))).select(F.col("page_id").alias("doc_id"))
-    marked = docs.join(pages.distinct().withColumn("hit", F.lit(True)), "doc_id", "left")
-    return marked.where(F.coalesce("hit", F.lit(False)) | (F.col("n_chars") < 100)).select("doc_id")
+    short = docs.where(F.col("n_chars") < 100)
+    return docs.where(~(F.col("n_chars") < 100)).join(pages, "doc_id", "left_semi").union(short).select("doc_id")
 
 
 def _entity_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -153,15 +153,17 @@ def folder_tree_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def breadcrumb_recursive(spark: SparkSession, d: str) -> DataFrame:
-    closed = C.closure(_tree(spark, d), "id", "parent", 40).where(F.col("node").isin("c1", "c7", "n3", "r0"))
+    wanted = spark.createDataFrame([("c1",), ("c7",), ("n3",), ("r0",)], "node string")
+    closed = C.closure(_tree(spark, d), "id", "parent", 40, wanted)
     return closed.groupBy("node").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "ancestor"))), lambda x: x["ancestor"]), "/").alias("path")
     )
 
 
 def descendants(spark: SparkSession, d: str) -> DataFrame:
-    closed = C.closure(_tree(spark, d), "id", "parent")
-    return closed.where((F.col("ancestor") == "r1") & (F.col("depth") > 0)).select("node", "depth")
+    root = spark.createDataFrame([("r1",)], "node string")
+    down = C.closure(_tree(spark, d).where("parent is not null"), "parent", "id", start=root)
+    return down.where(F.col("depth") > 0).select(F.col("ancestor").alias("node"), "depth")
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +193,7 @@ def acl_allowed(spark: SparkSession, d: str) -> DataFrame:
 
 def effective_permission(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("workspace") == "en", 3).when(F.col("workspace") == "fr", 1).otherwise(0)
-    return C.effective_permission(_items(spark, d), _shares(spark, d), 12, level, M.AS_OF)
+    return C.effective_permission(_items(spark, d), _shares(spark, d), 12, level, M.AS_OF, _teams(spark, d))
 
 
 def shares_polymorphic(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +235,7 @@ def import_remap(spark: SparkSession, d: str) -> DataFrame:
 
 def quota_greedy(spark: SparkSession, d: str) -> DataFrame:
     files = T(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
-    return C.quota_greedy(files.where(F.col("source") != "src0"), "source", "id", "n_chars", 60_000)
+    return C.quota_greedy(files, "source", "id", "n_chars", 60_000)
 
 
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -274,11 +276,11 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def null_safe_equal(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of notes in one folder, a missing folder counting as the empty one."""
+    """How many later notes share a note's folder, a missing folder counting as the empty one."""
     notes = M.notes(spark, d).select("id", F.when(F.col("id") % 3 != 1, F.col("folder")).alias("folder"))
-    a, b = notes.toDF("a", "fa"), notes.toDF("b", "fb")
-    same = F.coalesce("fa", F.lit("")) == F.coalesce("fb", F.lit(""))
-    return a.join(b, same & (F.col("a") < F.col("b"))).groupBy("a").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.coalesce("folder", F.lit("")))
+    later = F.count("*").over(w) - F.row_number().over(w.orderBy("id"))
+    return notes.select(F.col("id").alias("a"), later.alias("n")).where(F.col("n") > 0)
 
 
 def next_sort_order(spark: SparkSession, d: str) -> DataFrame:
@@ -404,7 +406,8 @@ UNION SELECT id FROM live WHERE grantee_type = 'user' AND grantee_id = 12
 UNION SELECT id FROM live WHERE grantee_type = 'team' AND grantee_id IN (SELECT c_nationkey FROM customer WHERE c_custkey = 12)""",
     "effective_permission": f"""{W}, {SHARES_SQL}, s AS (
   SELECT id, max(CASE permission WHEN 'view' THEN 1 WHEN 'comment' THEN 2 WHEN 'edit' THEN 3 ELSE 0 END) AS sh
-  FROM live WHERE grantee_type = 'user' AND grantee_id = 12 GROUP BY id)
+  FROM live WHERE (grantee_type = 'user' AND grantee_id = 12)
+    OR (grantee_type = 'team' AND grantee_id IN (SELECT c_nationkey FROM customer WHERE c_custkey = 12)) GROUP BY id)
 SELECT i.id, ['none', 'view', 'comment', 'edit', 'manage'][1 + CASE WHEN owner = 12 THEN 4 WHEN private THEN coalesce(sh, 0)
   ELSE greatest(CASE workspace WHEN 'en' THEN 3 WHEN 'fr' THEN 1 ELSE 0 END, coalesce(sh, 0)) END] AS permission
 FROM items i LEFT JOIN s ON s.id = i.id""",
@@ -418,7 +421,7 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
     "import_remap": "SELECT c_custkey, CAST(CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey + 1000 ELSE -1 END AS BIGINT) AS c_nationkey FROM customer",
     "quota_greedy": """WITH RECURSIVE f AS (
-  SELECT source, doc_id AS id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE source <> 'src0'
+  SELECT source, doc_id AS id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents
 ), g AS (
   SELECT source, id, i, CASE WHEN n <= 60000 THEN n ELSE 0 END AS used, n <= 60000 AS ok FROM f WHERE i = 1
   UNION ALL SELECT f.source, f.id, f.i, CASE WHEN used + n <= 60000 THEN used + n ELSE used END, used + n <= 60000
