@@ -161,3 +161,37 @@ def test_think_filter_over_any_split():
         f = ThinkFilter()
         out = "".join(f.feed(whole[i : i + size]) for i in range(0, len(whole), size)) + f.end()
         assert out == "a b < d"
+
+
+def test_cells_without_references_and_formats():
+    assert [(r, c) for r, c, _ in office._placed(office.ET.fromstring("<s><row><c/><c r='D1'/><c/></row><row r='5'><c/></row><row><c/></row></s>"))] == [
+        (0, 0), (0, 3), (0, 4), (4, 0), (5, 0),
+    ]
+    shown = [office._number(*x) for x in (("1.5", 20, ""), ("1234.5", 3, ""), ("1234.5", 4, ""), ("-2", 38, ""), ("0.256", 10, ""), ("45000.25", 22, ""), ("45000", 14, ""), ("0.5", 20, "h:mm"), ("45000.5", 166, "yyyy-mm-dd hh:mm"), ("7", 0, ""))]
+    assert shown == ["12:00", "1234.5", "1,234.50", "-2.00", "25.60%", "2023-03-15 06:00:00", "2023-03-15", "12:00", "2023-03-15 12:00:00", "7"]
+
+
+def test_references_decode_alike_in_files_and_columns(spark):
+    from tomewright.functions import text as X
+    from tomewright.sources import decode
+
+    pages = ["a &copy; b", "&amp;lt; &lt;p&gt; &#65;&#x42; &nbsp;&hellip;", "plain", "<p>x &quot;y&quot;</p>&#39;"]
+    got = spark.createDataFrame([(p,) for p in pages], "h string").select(X.html_to_text(F.col("h"))).collect()
+    assert [r[0] for r in got] == [decode.html_text(p) for p in pages] and got[0][0] == "a &copy; b"
+    assert decode.readable_html("<p>a</p><script>x</script><!-- c --><noscript>n</noscript>") == "<p>a</p>"
+
+
+def test_limits_are_named(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("abc " * 100)
+    (tmp_path / "b.txt").write_text("x" * 5000)
+    rows = {r["path"][-5:]: r for r in files.documents(files.read_tree(spark, str(tmp_path), most=1000), most_text=50).collect()}
+    assert rows["a.txt"]["warning"] == "text cut at 50 characters" and len(rows["a.txt"]["text"]) == 50
+    assert not rows["b.txt"]["ok"] and "larger" in rows["b.txt"]["warning"]
+
+
+def test_tables_have_html():
+    doc = files.extract_document(b"a,b\n1,<2>\n", "x.csv")
+    assert doc["html"] == "<table><tbody><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>&lt;2&gt;</td></tr></tbody></table>"
+    assert files.blocks_html([("h1", "T"), ("li", "a"), ("li", "b"), ("row", "x\ty"), ("p", "<")]) == (
+        "<h1>T</h1><ul><li>a</li><li>b</li></ul><table><tbody><tr><td>x</td><td>y</td></tr></tbody></table><p>&lt;</p>"
+    )

@@ -63,12 +63,18 @@ def parse_csv(text: str, delimiter: str | None = None, limit: int = CSV_ROWS) ->
 
 
 def html_text(source: str) -> str:
-    from tomewright.functions.text import py_normalize_whitespace
+    from tomewright.functions.text import py_decode_entities, py_normalize_whitespace
 
     out = re.sub(r"<(script|style).*?</\1>", " ", source, flags=re.I | re.S)
     out = re.sub(r"<br\s*/?>", "\n", out, flags=re.I)
     out = re.sub(r"</(p|div|li|h[1-6]|tr|section|article|blockquote|pre)>", "\n", out, flags=re.I)
-    return py_normalize_whitespace(html_module.unescape(re.sub(r"<[^>]*>", "", out)))
+    return py_normalize_whitespace(py_decode_entities(re.sub(r"<[^>]*>", "", out)))
+
+
+def readable_html(source: str | None) -> str:
+    """HTML to show: scripts, frames and comments out, the rest sanitised."""
+    out = re.sub(r"(?is)<(script|style|iframe|object|embed|link|meta|noscript).*?</\1>", "", source or "")
+    return sanitize_html(re.sub(r"(?s)<!--.*?-->", "", out))
 
 
 # What sanitised HTML may hold.

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 from collections.abc import Iterator
+from html import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from tomewright.functions.text import PREVIEW_KINDS, CODE_EXTENSIONS, TEXT_EXTENSIONS
 
 DOCUMENT = "ok boolean, kind string, text string, html string, pages array<struct<index:int,text:string>>, meta map<string,string>, warning string"
+#: Limits, each a parameter; what they cut is named in ``warning``.
 MAX_TEXT = 8 << 20
 MAX_FILE = 256 << 20
 
@@ -28,7 +31,27 @@ def kind_of(name: str, mime: str = "") -> str:
     return next((k for k in ("image", "audio", "video", "text") if mime.startswith(f"{k}/")), "binary")
 
 
-def extract_document(data: bytes, name: str, mime: str = "") -> dict:
+def table_html(rows: list[list[str]]) -> str:
+    body = "".join("<tr>" + "".join(f"<td>{escape(c)}</td>" for c in r) + "</tr>" for r in rows)
+    return f"<table><tbody>{body}</tbody></table>" if rows else ""
+
+
+def blocks_html(blocks: list[tuple[str, str]]) -> str:
+    """HTML of (kind, text) blocks: headings, paragraphs, runs of list items and of table rows."""
+    out = []
+    for kind, run in itertools.groupby(blocks, key=lambda b: b[0]):
+        texts = [escape(t) for _, t in run]
+        if kind == "li":
+            out.append("<ul>" + "".join(f"<li>{t}</li>" for t in texts) + "</ul>")
+        elif kind == "row":
+            cells = ("".join(f"<td>{c}</td>" for c in t.split("\t")) for t in texts)
+            out.append("<table><tbody>" + "".join(f"<tr>{c}</tr>" for c in cells) + "</tbody></table>")
+        else:
+            out += [f"<{kind}>{t}</{kind}>" for t in texts]
+    return "".join(out)
+
+
+def extract_document(data: bytes, name: str, mime: str = "", most_text: int = MAX_TEXT) -> dict:
     """One document of any known format; a broken file gives ``ok`` false and a warning, never an error."""
     from tomewright.functions.text import py_normalize_whitespace
     from tomewright.sources import decode, office, pdf
@@ -41,13 +64,19 @@ def extract_document(data: bytes, name: str, mime: str = "") -> dict:
             out["pages"] = [{"index": i, "text": t} for i, t in found["pages"]]
             out |= {"ok": found["ok"], "warning": found["warning"], "text": "\n\n".join(t for _, t in found["pages"])}
         elif kind == "docx":
-            out["text"] = "\n".join(t for _, t in office.docx_blocks(data))
+            blocks = office.docx_blocks(data)
+            out |= {"text": "\n".join(t for _, t in blocks), "html": blocks_html(blocks)}
         elif kind == "xlsx":
             out["text"] = office.xlsx_text(office.xlsx_cells(data))
+            sheets = out["text"].split("\n\n") if out["text"] else []
+            grids = ((x.split("\n")[0], [r.split("\t") for r in x.split("\n")[1:]]) for x in sheets)
+            out["html"] = "".join(f"<h3>{escape(sheet)}</h3>{table_html(rows)}" for sheet, rows in grids)
         elif kind == "pptx":
             slides = office.pptx_slides(data)
             out["pages"] = [{"index": n, "text": f"{a}\n{b}".strip()} for n, a, b in slides]
             out["text"] = "\n\n".join(p["text"] for p in out["pages"])
+            shown = (f"<h3>{escape(a)}</h3><p>{escape(b)}</p>" for _, a, b in slides)
+            out["html"] = "".join(f"<section>{x}</section>" for x in shown)
         elif kind in ("image", "audio", "video", "binary", "archive"):
             out["ok"] = False
             out["warning"] = "no text in this kind of file"
@@ -68,8 +97,12 @@ def extract_document(data: bytes, name: str, mime: str = "") -> dict:
                 rows = decode.parse_csv(text)
                 out["text"] = "\n".join("\t".join(r) for r in rows)
                 out["meta"]["rows"] = str(len(rows))
+                out["html"] = table_html(rows)
+                if len(rows) >= decode.CSV_ROWS:
+                    out["warning"] = f"rows cut at {decode.CSV_ROWS}"
             elif kind == "code":
                 out["meta"]["lines"] = str(text.count("\n") + 1)
+                out["html"] = f"<pre><code>{escape(text)}</code></pre>"
                 if name.lower().endswith(".json"):
                     pretty = decode.json_pretty(text)
                     out["text"], out["warning"] = (pretty, "") if pretty is not None else (text, "invalid JSON")
@@ -77,12 +110,15 @@ def extract_document(data: bytes, name: str, mime: str = "") -> dict:
                 out["meta"]["lines"] = str(text.count("\n") + 1)
     except Exception as e:  # a hostile file must not fail the job
         out |= {"ok": False, "warning": f"{type(e).__name__}: {e}"[:500]}
-    out["text"] = py_normalize_whitespace(out["text"])[:MAX_TEXT]
+    whole = py_normalize_whitespace(out["text"])
+    if len(whole) > most_text:
+        out["warning"] = "; ".join(filter(None, [out["warning"], f"text cut at {most_text} characters"]))
+    out["text"] = whole[:most_text]
     return out
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """Documents of (path, content) rows, as ``binaryFile`` reads them."""
+def documents(files: DataFrame, most_text: int = MAX_TEXT) -> DataFrame:
+    """Documents of (path, content) rows, as ``binaryFile`` reads them; null content was not read."""
     schema = T.StructType([T.StructField("path", T.StringType()), *T.StructType.fromDDL(DOCUMENT)])
 
     def run(batches: Iterator) -> Iterator:
@@ -92,17 +128,23 @@ def documents(files: DataFrame) -> DataFrame:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for i in range(batch.num_rows):
-                path, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""
-                doc = extract_document(data, path.rsplit("/", 1)[-1])
+                path, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                doc = extract_document(data or b"", path.rsplit("/", 1)[-1], "", most_text)
+                if data is None:
+                    doc |= {"ok": False, "warning": "not read: larger than the limit"}
                 yield pa.RecordBatch.from_pylist([{"path": path, **doc}], schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, modificationTime, length, content) of a folder and all below it; huge files are left out."""
+def read_tree(spark: SparkSession, root: str, pattern: str = "*", most: int = MAX_FILE) -> DataFrame:
+    """(path, modificationTime, length, content) of a folder and all below it.
+
+    Files of more than ``most`` bytes are listed with null content, unread.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return reader.load(root).where(F.col("length") <= MAX_FILE)
+    large = reader.load(root).where(F.col("length") > most).withColumn("content", F.lit(None).cast("binary"))
+    return reader.load(root).where(F.col("length") <= most).unionByName(large)
 
 
 def byte_range(content: Column, start: int, length: int) -> Column:

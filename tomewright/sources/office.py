@@ -11,7 +11,9 @@ import zipfile
 MAX_ENTRY = 64 << 20
 MAX_ROWS, MAX_COLUMNS = 20_000, 1000
 # Built-in number formats that show dates or times, and day zero.
-DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+# Number formats that show dates, and those that show a time of day only.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+TIME_FORMATS = {18, 19, 20, 21, 45, 46, 47}
 DAY_ZERO = datetime.datetime(1899, 12, 30)
 
 
@@ -106,22 +108,29 @@ def docx_blocks(data: bytes) -> list[tuple[str, str]]:
     return list(walk(body)) if body is not None else []
 
 
-def _cell_at(ref: str) -> tuple[int, int]:
-    m = re.match(r"([A-Z]+)(\d+)$", ref or "")
-    if not m:
-        return -1, -1
+def _column_of(ref: str) -> int:
+    """The column that a cell reference begins with; -1 without one."""
+    m = re.match(r"[A-Za-z]+", ref or "")
     column = 0
-    for ch in m[1]:
+    for ch in m[0].upper() if m else "":
         column = column * 26 + ord(ch) - 64
-    return int(m[2]) - 1, column - 1
+    return column - 1
 
 
-def excel_date(serial: float, code: str = "") -> str:
-    moment = DAY_ZERO + datetime.timedelta(days=serial)
-    moment += datetime.timedelta(microseconds=500_000)
-    if serial < 1:
-        return moment.strftime("%H:%M:%S")
-    return moment.strftime("%Y-%m-%d" if float(serial).is_integer() else "%Y-%m-%d %H:%M:%S")
+def _row_of(ref: str) -> int:
+    """The row that a reference ends with; -1 without one."""
+    m = re.search(r"\d+$", ref or "")
+    return int(m[0]) - 1 if m else -1
+
+
+def excel_date(serial: float, fmt: int = 14, code: str = "") -> str:
+    """A serial number as the format shows it: a date, a time of day, or both."""
+    moment = DAY_ZERO + datetime.timedelta(milliseconds=int(serial * 86_400_000 + 0.5))
+    if fmt in TIME_FORMATS or (code and not re.search("(?i)[ymd]", code)):
+        short = fmt in (20, 45) or (code and not re.search("(?i)s", code))
+        return moment.strftime("%H:%M" if short else "%H:%M:%S")
+    both = fmt == 22 or re.search("(?i)h", code)
+    return f"{moment.year}-{moment:%m-%d %H:%M:%S}" if both else f"{moment.year}-{moment:%m-%d}"
 
 
 def _number(raw: str, fmt: int, code: str) -> str:
@@ -129,18 +138,36 @@ def _number(raw: str, fmt: int, code: str) -> str:
         x = float(raw)
     except ValueError:
         return raw
-    plain = re.sub(r'"[^"]*"|\[[^\]]*\]', "", code)
-    if fmt in DATE_FORMATS or (plain and re.search(r"(?i)[ymdhs]", plain) and "0" not in plain and "#" not in plain):
+    if x != x or x in (float("inf"), float("-inf")):
+        return raw
+    plain = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
+    if fmt in DATE_FORMATS or re.search("(?i)[ymd]", plain):
         try:
-            return excel_date(x, code)
+            return excel_date(x, fmt, code)
         except OverflowError:
             return raw
-    if fmt in (9, 10) or "%" in plain:
-        places = 2 if fmt == 10 else len(m[1]) if (m := re.search(r"\.(0+)%", plain)) else 0
-        return f"{x * 100:.{places}f}%"
-    if fmt in (3, 4) or "#,##" in plain:
-        return f"{x:,.{2 if fmt == 4 or '.00' in plain else 0}f}"
-    return str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x)
+    if fmt in (9, 10) or "%" in code:
+        return f"{x * 100:.{2 if fmt == 10 or '.00' in code else 0}f}%"
+    if fmt in (4, 37, 38, 39, 40) or re.search("[$€£¥]", code):
+        return f"{'-' if x < 0 else ''}{abs(x):,.2f}"
+    return raw
+
+
+def _placed(part: ET.Element):
+    """(row, column, cell): a row or cell without a reference comes after the one before it.
+
+    A row without a number takes that of its first cell that has one.
+    """
+    next_row = 0
+    for r in _find(part, "row"):
+        named = (at for x in (r, *r) if (at := _row_of(x.get("r", ""))) >= 0)
+        row = next(named, next_row)
+        next_row, next_column = row + 1, 0
+        for c in r:
+            if _local(c) == "c":
+                column = at if (at := _column_of(c.get("r", ""))) >= 0 else next_column
+                next_column = column + 1
+                yield row, column, c
 
 
 def xlsx_cells(data: bytes) -> list[tuple[str, int, int, str]]:
@@ -161,9 +188,8 @@ def xlsx_cells(data: bytes) -> list[tuple[str, int, int, str]]:
         part = pack.xml(links.get(_attribute(sheet, "id") or "", ""))
         if part is None:
             continue
-        for c in _find(part, "c"):
-            row, column = _cell_at(c.get("r", ""))
-            if not (0 <= row < MAX_ROWS and 0 <= column < MAX_COLUMNS):
+        for row, column, c in _placed(part):
+            if not (row < MAX_ROWS and column < MAX_COLUMNS):
                 continue
             kind = c.get("t", "n")
             raw = next((v.text or "" for v in c if _local(v) == "v"), "")
@@ -173,6 +199,8 @@ def xlsx_cells(data: bytes) -> list[tuple[str, int, int, str]]:
                 text = "".join(t.text or "" for t in _find(c, "t"))
             elif kind == "b":
                 text = "TRUE" if raw == "1" else "FALSE"
+            elif kind == "d":
+                text = raw.replace("T", " ", 1).removesuffix("Z")
             elif kind == "n" and raw:
                 style = int(c.get("s", 0) or 0)
                 fmt = formats[style] if style < len(formats) else 0
