@@ -53,8 +53,8 @@ def test_permissions(spark):
     teams = spark.createDataFrame([(7, 5)], "team_id long, user_id long")
     ids = {r["id"] for r in C.allowed_ids(items, shares, 5, teams, "2024-01-01").collect()}
     assert ids == {1, 2, 3, 5}
-    got = dict(C.effective_permission(items, shares, 5, F.lit(1), "2024-01-01").collect())
-    assert got == {1: "view", 2: "edit", 3: "manage", 4: "none", 5: "none"}
+    got = dict(C.effective_permission(items, shares, 5, F.lit(1), "2024-01-01", teams).collect())
+    assert got == {1: "view", 2: "edit", 3: "manage", 4: "none", 5: "view"}
 
 
 def test_tree_guards_against_cycles(spark):
@@ -158,3 +158,47 @@ def test_ask(spark):
 
     assert ask("engine", ctx, generate=fails)["source"] == "extracted"
     assert ask("x", ctx.limit(0))["source"] == "none"
+
+
+def test_closure_of_many_nodes(spark):
+    """A tree of 10^6 nodes, ten children each: more rows than a recursive query may have."""
+    edges = spark.range(1, 1_000_000).selectExpr("id", "(id - 1) div 10 parent").union(spark.range(1).selectExpr("id", "cast(null as long)"))
+    closed = C.closure(edges, "id", "parent")
+    assert closed.groupBy("node").count().agg(F.max("count"), F.count("*")).first() == (7, 1_000_000)
+    assert closed.where("ancestor = 0").count() == 1_000_000
+    few = C.closure(edges, "id", "parent", start=spark.createDataFrame([(999_999,), (3,)], "node long"))
+    assert sorted(map(tuple, few.collect())) == sorted([(999999, 999999, 0), (99999, 999999, 1), (9999, 999999, 2), (999, 999999, 3), (99, 999999, 4), (9, 999999, 5), (0, 999999, 6), (3, 3, 0), (0, 3, 1)])
+
+
+def test_quota_equals_brute_force(spark):
+    import random
+
+    random.seed(4)
+    rows = [(random.choice([None, 1, 2, 3]), i, random.randint(0, 40)) for i in range(400)]
+    used, want = {}, set()
+    for u, i, n in rows:
+        if used.get(u, 0) + n <= 300:
+            used[u] = used.get(u, 0) + n
+            want.add((u, i))
+    df = spark.createDataFrame(rows, "u long, id long, n long").repartition(5)
+    assert set(map(tuple, C.quota_greedy(df, "u", "id", "n", 300).collect())) == want
+    assert C.quota_greedy(df.where("false"), "u", "id", "n", 300).count() == 0
+
+
+def test_indexed_files(spark):
+    from tomewright.functions import text as X
+    from tomewright.operators import nlp
+
+    long = "## One\n\n" + "alpha beta gamma words here.\n\n" * 120 + "\n\n## Two\n\n" + "delta epsilon zeta.\n\n" * 500
+    rows = [(1, "Alpha title", long, ["tagone", "tagtwo"]), (2, None, None, None), (3, "x", "", [])]
+    df = spark.createDataFrame(rows, "id long, title string, text string, tags array<string>")
+    entities, chunks = nlp.indexed(df)
+    bags = {r["entity_id"]: r["text"] for r in entities.where("entity_type = 'file'").collect()}
+    clean = X.py_normalize_whitespace(long)
+    assert bags[1] == "\n".join(["Alpha title"] * 3 + ["tagone tagtwo", " ".join(X.py_keywords(clean, 24)), clean[:6000]])
+    assert set(bags) == {1, 2, 3}
+    want = nlp.chunk_text(clean)
+    got = chunks.where("file_id = 1").orderBy("idx").collect()
+    assert [(r["idx"], r["heading"], r["text"]) for r in got] == [(c["idx"], c["heading"], c["text"]) for c in want] and len(want) > 3
+    assert entities.where("entity_type = 'chunk'").count() == chunks.count() == chunks.select("chunk_id").distinct().count()
+    assert set(nlp.analyze([long])) == {"summary", "outline", "keywords"} and set(nlp.analyze(["a b", "c d"])) == {"compare"}

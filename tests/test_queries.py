@@ -12,6 +12,10 @@ CHOSEN = (
     "bm25_files", "bm25_chunk_scores", "hybrid_search", "rrf_retrieve", "hash_embed", "extract_keywords", "list_files_page",
     "folder_tree_rollup", "acl_allowed", "effective_permission", "quota_greedy", "upsert_latest", "daily_trend_zero_fill",
     "html_to_text", "split_sentences", "normalize_tags", "events_daily_window", "think_stream", "export_paths",
+    "hybrid_vector", "vector_only", "search_page", "search_exts", "hybrid_search_acl", "retrieve_allowed", "retrieve_scoped",
+    "events_running_counters", "breadcrumb_recursive", "descendants", "null_safe_equal", "workspace_permission", "my_workspaces",
+    "share_by_token", "tag_rename_delete", "audit_append", "load_missing", "sibling_sort", "label_maps", "stamps", "short_sizes",
+    "sse_lines", "meta_merge", "vector_pack",
 )
 
 

@@ -1,4 +1,4 @@
-"""Display functions: ages, durations, colours, initials, excerpts; address classes."""
+"""Display functions: ages, durations, colours, initials, excerpts, labels, types, stamps; address classes."""
 
 from __future__ import annotations
 
@@ -112,3 +112,110 @@ def address_class(host: Column) -> Column:
         .otherwise("public")
     )
     return F.when(v.isNotNull(), out.otherwise("public")).when(F.contains(bare, F.lit(":")), six).otherwise("name")
+
+
+# Media types of file extensions.
+MIME_TYPES = {
+    "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "doc": "application/msword", "xls": "application/vnd.ms-excel", "ppt": "application/vnd.ms-powerpoint",
+    "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "xml": "application/xml",
+    "html": "text/html", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",
+    "webp": "image/webp", "svg": "image/svg+xml", "zip": "application/zip", "mp3": "audio/mpeg", "mp4": "video/mp4",
+}
+# What roles, permissions, parse states and kinds of files are called.
+ROLE_LABELS = {"owner": "所有者", "admin": "管理员", "editor": "编辑者", "commenter": "评论者", "viewer": "只读", "member": "成员", "guest": "访客"}
+PERMISSION_LABELS = {"manage": "可管理", "edit": "可编辑", "comment": "可评论", "view": "只读", "none": "无权限", "inherit": "继承"}
+STATUS_LABELS = {"ok": "已解析", "processing": "解析中", "pending": "待解析", "failed": "解析失败", "empty": "无文本"}
+KIND_EXTENSIONS = {
+    "pdf": "pdf", "doc": "doc docx rtf odt pages", "sheet": "xls xlsx csv tsv ods numbers", "slide": "ppt pptx key odp",
+    "md": "md markdown mdx", "txt": "txt log ini conf cfg env properties",
+    "code": "json xml yml yaml toml sql js mjs cjs ts tsx jsx py java c h cpp hpp cs go rs rb php swift kt sh ps1 html htm css scss less vue svelte",
+    "image": "png jpg jpeg gif webp bmp svg ico avif", "media": "mp3 wav m4a flac ogg aac mp4 webm mov avi mkv",
+    "zip": "zip rar 7z tar gz bz2 xz",
+}
+KIND_LABELS = {
+    "pdf": "PDF", "doc": "DOC", "sheet": "XLS", "slide": "PPT", "md": "MD", "txt": "TXT", "code": "CODE", "image": "IMG",
+    "media": "MEDIA", "zip": "ZIP",
+}
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+
+
+def mime_type(ext: Column, fallback: str = "application/octet-stream") -> Column:
+    """The media type of a file extension in any case."""
+    return F.coalesce(_looked_up(MIME_TYPES, F.lower(empty(ext))), F.lit(fallback))
+
+
+def role_label(role: Column) -> Column:
+    return F.coalesce(_looked_up(ROLE_LABELS, empty(role)), F.when(role != "", role), F.lit(ROLE_LABELS["member"]))
+
+
+def permission_label(permission: Column) -> Column:
+    return F.coalesce(_looked_up(PERMISSION_LABELS, empty(permission)), permission)
+
+
+def status_label(status: Column) -> Column:
+    return F.coalesce(_looked_up(STATUS_LABELS, empty(status)), status)
+
+
+def file_kind(ext: Column) -> Column:
+    table = {e: kind for kind, line in KIND_EXTENSIONS.items() for e in line.split()}
+    return F.coalesce(_looked_up(table, F.lower(empty(ext))), F.lit("other"))
+
+
+def file_kind_label(ext: Column) -> Column:
+    return F.coalesce(_looked_up(KIND_LABELS, file_kind(ext)), F.lit("FILE"))
+
+
+def short_bytes(n: Column, digits: int = 1) -> Column:
+    """A size as lists show it: no decimals from 10 KB to 1 MB."""
+    v = F.coalesce(n.cast("double"), F.lit(0.0))
+    return (
+        F.when(v < 1024, F.format_string("%d B", v.cast("long")))
+        .when(v < 10 * 1024, F.format_string("%.1f KB", v / 1024))
+        .when(v < 1024**2, F.format_string("%.0f KB", v / 1024))
+        .when(v < 1024**3, F.format_string(f"%.{digits}f MB", v / 1024**2))
+        .otherwise(F.format_string("%.2f GB", v / 1024**3))
+    )
+
+
+def month_bucket(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM")
+
+
+def dos_stamp(ts: Column) -> Column:
+    """(time, date) of a ZIP entry: two-second steps, years from 1980."""
+    time = F.shiftleft(F.hour(ts), 11).bitwiseOR(F.shiftleft(F.minute(ts), 5)).bitwiseOR(F.floor(F.second(ts) / 2).cast("int"))
+    year = F.greatest(F.lit(1980), F.year(ts)) - 1980
+    date = F.shiftleft(year.bitwiseAND(F.lit(127)), 9).bitwiseOR(F.shiftleft(F.month(ts), 5)).bitwiseOR(F.dayofmonth(ts))
+    return F.struct(time.alias("time"), date.alias("date"))
+
+
+def date_label(ts: Column, with_time: bool = False) -> Column:
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm" if with_time else "yyyy-MM-dd"), F.lit(NEVER))
+
+
+def sse_frame(event: Column, data: Column, id_: Column | None = None) -> Column:
+    """A server-sent event: id and event lines, a data line for every line of the data, an empty line."""
+    lines = F.array_join(F.transform(F.split(empty(data), "\n"), lambda x: F.concat(F.lit("data: "), x, F.lit("\n"))), "")
+    head = F.when(empty(event) != "", F.concat(F.lit("event: "), event, F.lit("\n"))).otherwise("")
+    first = F.lit("") if id_ is None else F.when(id_.isNotNull(), F.concat(F.lit("id: "), id_.cast("string"), F.lit("\n"))).otherwise("")
+    return F.concat(first, head, lines, F.lit("\n"))
+
+
+def merged_meta(meta: Column, added: dict[str, Column]) -> Column:
+    """A JSON object with values added or replaced, as JSON."""
+    old = F.coalesce(F.from_json(empty(meta), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    new = F.create_map(*[x for k, v in added.items() for x in (F.lit(k), v.cast("string"))])
+    kept = F.map_filter(old, lambda k, v: ~k.isin(list(added)))
+    return F.to_json(F.map_concat(kept, new))
+
+
+def office_words(text: Column) -> Column:
+    """Words between white space."""
+    return F.size(F.filter(F.split(empty(text), r"\s+"), lambda w: w != "")).cast("long")

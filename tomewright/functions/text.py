@@ -139,6 +139,19 @@ def decode_entities(text: Column) -> Column:
     return F.regexp_replace(out, "(?i)&amp;", "&")
 
 
+def py_decode_entities(text: str) -> str:
+    """:func:`decode_entities` of one text."""
+    for pattern, shown in HTML_ENTITIES:
+        text = re.sub(pattern, shown, text, flags=re.I)
+
+    def character(base: int):
+        return lambda m: chr(n) if 0 < (n := int(m[1], base)) < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
+
+    text = re.sub(r"&#([0-9]{1,7});", character(10), text)
+    text = re.sub(r"&#x([0-9a-f]{1,6});", character(16), text, flags=re.I)
+    return re.sub("&amp;", "&", text, flags=re.I)
+
+
 def _character(code: Column) -> Column:
     """The character of a code point, by way of its UTF-32 bytes."""
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
@@ -152,7 +165,8 @@ def strip_tags(html: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    return normalize_whitespace(decode_entities(strip_tags(html)))
+    plain = strip_tags(html)
+    return normalize_whitespace(F.when(F.contains(empty(html), F.lit("&")), decode_entities(plain)).otherwise(plain))
 
 
 def html_title(html: Column) -> Column:

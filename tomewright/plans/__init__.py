@@ -1,8 +1,8 @@
 """Registered queries by family, each with the SQL that states its result."""
 
-from . import catalog, flows, retrieval, text
+from . import catalog, flows, more, retrieval, text
 
-FAMILIES = [retrieval, catalog, text, flows]
+FAMILIES = [retrieval, catalog, text, flows, more]
 
 
 def queries() -> dict:

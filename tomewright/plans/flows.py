@@ -24,7 +24,10 @@ def events_daily_window(spark: SparkSession, d: str) -> DataFrame:
 
 def events_running_counters(spark: SparkSession, d: str) -> DataFrame:
     stream = E.event_stream(spark, f"{d}/event[s].parquet")
-    return E.run_to_end(E.running_counters(stream), "complete", "counters")
+    spent = F.when(F.col("event_type").isin("error", "click"), -F.col("value")).otherwise(F.col("value"))
+    changes = stream.select("user_id", "ts", "event_id", spent.alias("value"))
+    out = E.run_to_end(E.running_counters(changes), "update", "counters", key="user_id")
+    return out.select("user_id", F.round("used", 4).alias("used"), "n")
 
 
 def events_queue(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +66,8 @@ def think_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     """The retrieved contexts (eight at most) and the sentences that answer from them."""
-    rows, lengths = R.stored(spark, d)
-    found = S.retrieve(rows, M.chunks(spark, d), M.files(spark, d), R.Q, stats=lengths).join(
+    rows, _, totals = R.stored(spark, d)
+    found = S.retrieve(rows, M.chunks(spark, d), M.files(spark, d), R.Q, totals=totals).join(
         M.chunks(spark, d).select("chunk_id", "text"), "chunk_id"
     )
     rows = found.orderBy(F.desc("score"), "chunk_id").collect()  # top_k rows
@@ -120,7 +123,10 @@ QUERIES = {
 _SAFE = "regexp_replace(coalesce(title, 'untitled'), '[\\\\/:*?\"<>|\\s]+', '-', 'g')"
 ORACLE_SQL = {
     "events_daily_window": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
-    "events_running_counters": "SELECT user_id, greatest(0, round(sum(value), 4)) AS used, count(*) AS n FROM events GROUP BY user_id",
+    "events_running_counters": """WITH d AS (
+  SELECT user_id, CASE WHEN event_type IN ('error', 'click') THEN -value ELSE value END AS x, ts, event_id FROM events
+), s AS (SELECT user_id, x, sum(x) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM d)
+SELECT user_id, round(sum(x) - least(0, min(s)), 4) + 0 AS used, count(*) AS n FROM s GROUP BY user_id""",
     "events_queue": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, bool_or(event_type = 'error') AS urgent FROM events GROUP BY user_id",
     "think_stream": "SELECT conv_id || '-' || turn AS id, md5('a' || text) AS digest FROM conversations",
     "export_paths": f"""WITH {M.MODEL_SQL}
