@@ -23,8 +23,9 @@ yet are not alike.
 
 Defined results: texts that differ only in the case of A-Z and in white space are equal;
 null and empty texts are equal; texts of fewer than five words are alike if equal;
-repeated rows are members of one group; a group's id is its smallest non-null id; an empty
-table gives an empty result; columns of the input named like the outputs are replaced,
+repeated rows are members of one group, rows that repeat an id with another text are
+members of their texts' groups; a group's id is its smallest non-null id; an empty table
+gives an empty result; columns of the input named like the outputs are replaced,
 other columns stay.
 """
 

@@ -71,9 +71,10 @@ def store(df: DataFrame, cache: str, text_col: str = "text", tokenizer: str | No
     version = version_of(path)
     content = _content(text_col)
     texts = df.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("text"))
-    if (stored := _stored(df.sparkSession, cache, version)) is not None:
-        texts = texts.join(stored, "digest", "left_anti")
+    # distinct before the join, so that copies collapse on the map side; the join finds them dealt by digest
     misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    if (stored := _stored(df.sparkSession, cache, version)) is not None:
+        misses = misses.join(stored, "digest", "left_anti")
     _encode_misses(misses, path, version).write.mode("append").parquet(cache)
 
 

@@ -15,7 +15,8 @@ over the words of every whole text, without a shuffle.
 
 Defined results: null and empty texts get the score of a text without features; without
 labels, or with labels of one kind only, the score is the share of that kind (0 without
-any); repeated rows stay; input columns named like the outputs are replaced.
+any); repeated rows stay; labels and documents with a null id do not meet, so such rows are
+scored but not learned from; input columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
