@@ -13,27 +13,44 @@ from tomewright.llm import common, mixing, near, packing, quality, queries, toxi
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go.
+
+    Null and empty texts have the score of a text without features and stay; repeated rows
+    and rows with null ids are scored like any other; all columns stay as they are.
+    """
     return toxicity.kept(docs, queries.toxicity_model(spark, sf_dir))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the threshold table rejects go."""
+    """Documents that the threshold table rejects go.
+
+    Null, empty and very short texts are rejected; repeated rows share one verdict.
+    """
     return quality.kept(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8) stays."""
+    """One document of each group of near copies (five-word shingles, 0.8) stays.
+
+    That of the smallest id (nulls last; rows of one id by a hash of the text). Rows that
+    repeat id and text become one; an id that comes with several texts is several documents.
+    """
     return near.deduplicated(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated (or left out) to the target weights, in random order."""
+    """Documents repeated (or left out) to the target weights, in random order.
+
+    A null source is a source; rows of null or repeated ids draw for themselves.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids, one row a piece."""
+    """Sequences of token ids, one row a piece.
+
+    Null and empty texts are the end id alone; repeated rows are packed once each.
+    """
     pieces = packing.pack(docs)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
