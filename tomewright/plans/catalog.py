@@ -51,7 +51,7 @@ def _all_tags(spark: SparkSession) -> DataFrame:
 
 def tag_cloud(spark: SparkSession, d: str) -> DataFrame:
     used = _entity_tags(spark, d).groupBy("tag").agg(F.count("*").alias("n"))
-    cloud = _all_tags(spark).join(F.broadcast(used), "tag", "left")  # at most one row a tag
+    cloud = _all_tags(spark).join(used, "tag", "left")
     return cloud.select("tag", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "tag")
 
 
