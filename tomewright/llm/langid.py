@@ -80,9 +80,17 @@ _STARTS = np.array([a for a, _ in SCRIPTS])
 SCRIPT_NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
 
-#: Of letter categories only: numbers such as one half or a Roman numeral are none.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(word: str) -> str:
+    """The characters of letter categories: a Roman numeral or one half is a number, no letter."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
+def has_letter(text: str) -> bool:
+    first = _RUNS.search(text)
+    return first is not None and (any(map(str.isalpha, first[0])) or any(map(str.isalpha, text)))
 
 
 def scripts_of(codes: np.ndarray) -> np.ndarray:
@@ -201,7 +209,7 @@ class Tagger:
                 rows.clear()
                 self.used, self.scores = 1, self.scores[:1024]
                 new = list(set(tokens))
-            letters = ["".join(_LETTERS.findall(w)) for w in new]
+            letters = list(map(letters_of, new))
             real = [(w, x) for w, x in zip(new, letters) if x]
             rows.update((w, 0) for w, x in zip(new, letters) if not x)
             if real:
@@ -240,7 +248,7 @@ class Tagger:
             return ["und"] * len(texts), [0.0] * len(texts)
         every_label, _, every_letter = self.label(texts)
         for text, labels, letters in zip(texts, every_label, every_letter):
-            if text is None or not _LETTERS.search(text):
+            if text is None or not has_letter(text):
                 names.append("und")
                 scores.append(0.0)
                 continue
@@ -288,7 +296,7 @@ def fit(
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _LETTERS.findall(text.lower())
+                words = [x for w in _RUNS.findall(text.lower()) if (x := letters_of(w))]
                 if not words:
                     continue
                 k = order[name]
