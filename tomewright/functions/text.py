@@ -115,28 +115,46 @@ def escape_html(text: Column) -> Column:
     return out
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decode_entities(text: Column) -> Column:
-    """Named and numeric references; ``&amp;`` last, so that it is never decoded twice."""
-    out = empty(text)
-    for pattern, shown in HTML_ENTITIES:
-        out = F.regexp_replace(out, f"(?i){pattern}", shown)
+    """Named and numeric references; ``&amp;`` last, so that it is never decoded twice.
+
+    Texts without an ampersand, the most, go through no expression at all.
+    """
 
     def numbers(source: Column, pattern: str, base: int) -> Column:
         # cut at the references: text, number, text, number, ... and join with characters
-        marked = F.regexp_replace(source, pattern, "\u0001$1\u0002")
-        parts = F.split(marked, "\u0001")
-        tail = F.transform(
-            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-            lambda p: F.concat(
-                _character(F.conv(F.substring_index(p, "\u0002", 1), base, 10).cast("bigint")),
-                F.substr(p, F.instr(p, "\u0002") + 1),
-            ),
-        )
-        return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
-
-    out = F.when(out.rlike("&#[0-9]{1,7};"), numbers(out, "&#([0-9]{1,7});", 10)).otherwise(out)
-    out = F.when(out.rlike("(?i)&#x[0-9a-f]{1,6};"), numbers(out, "(?i)&#x([0-9a-f]{1,6});", 16)).otherwise(out)
-    return F.regexp_replace(out, "(?i)&amp;", "&")
+        def joined(parts: Column) -> Column:
+            tail = F.transform(
+                F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+                lambda p: F.concat(
+                    _character(F.conv(F.substring_index(p, "\u0002", 1), base, 10).cast("bigint")),
+                    F.substr(p, F.instr(p, "\u0002") + 1),
+                ),
+            )
+            return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+
+        return _once(F.split(F.regexp_replace(source, pattern, "\u0001$1\u0002"), "\u0001"), joined)
+
+    def replaced(source: Column, test: str, pattern: str, base: int) -> Column:
+        return _once(source, lambda t: F.when(t.rlike(test), numbers(t, pattern, base)).otherwise(t))
+
+    def decoded(raw: Column) -> Column:
+        out = raw
+        for pattern, shown in HTML_ENTITIES:
+            out = F.regexp_replace(out, f"(?i){pattern}", shown)
+        for test, pattern, base in (
+            ("&#[0-9]{1,7};", "&#([0-9]{1,7});", 10),
+            ("(?i)&#x[0-9a-f]{1,6};", "(?i)&#x([0-9a-f]{1,6});", 16),
+        ):
+            out = replaced(out, test, pattern, base)
+        return F.regexp_replace(out, "(?i)&amp;", "&")
+
+    return _once(empty(text), lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def py_decode_entities(text: str) -> str:
@@ -165,8 +183,7 @@ def strip_tags(html: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    plain = strip_tags(html)
-    return normalize_whitespace(F.when(F.contains(empty(html), F.lit("&")), decode_entities(plain)).otherwise(plain))
+    return normalize_whitespace(decode_entities(strip_tags(html)))
 
 
 def html_title(html: Column) -> Column:

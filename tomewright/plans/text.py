@@ -20,8 +20,8 @@ def normalize_ws(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    out = X.html_to_text(F.col("html"))
-    return T(spark, d, "pages").select("page_id", F.md5(out).alias("digest"), F.length(out).cast("long").alias("n"))
+    out = T(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("t"))
+    return out.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
 
 def html_title(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +34,8 @@ def markdown_to_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_sentences(spark: SparkSession, d: str) -> DataFrame:
-    s = X.sentences(F.col("text"))
-    return T(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
+    out = T(spark, d, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
+    return out.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 def word_count_reading(spark: SparkSession, d: str) -> DataFrame:
