@@ -63,6 +63,7 @@ def extract_document(data: bytes, name: str, mime: str = "", most_text: int = MA
             found = pdf.extract(data)
             out["pages"] = [{"index": i, "text": t} for i, t in found["pages"]]
             out |= {"ok": found["ok"], "warning": found["warning"], "text": "\n\n".join(t for _, t in found["pages"])}
+            out["meta"] |= {k: v for k, v in found["meta"].items() if v}
         elif kind == "docx":
             blocks = office.docx_blocks(data)
             out |= {"text": "\n".join(t for _, t in blocks), "html": blocks_html(blocks)}

@@ -2,16 +2,22 @@
 
 Objects are found by scanning the file (cross-reference tables are often broken), object
 streams are opened, page content is interpreted for its text operators, and the pieces
-are put in reading order by position. Encrypted files are reported, not read.
+are put in reading order by position. Files sealed by the standard handler are opened with
+the password given (none by default); others are reported as locked.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import time
 import zlib
+from bisect import bisect_right
+
+from tomewright.sources.pdfcrypt import Handler, Locked
 
 MAX_PAGES, MAX_BYTES, MAX_FORM_DEPTH = 800, 64 << 20, 6
+MAX_SECONDS = 20.0
 _WHITE, _DELIMITER = b"\0\t\n\f\r ", b"()<>[]{}/%"
 _TOKEN = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj\b")
@@ -30,8 +36,8 @@ class Word(str):
 
 
 class Stream:
-    def __init__(self, head: dict, raw: bytes):
-        self.head, self.raw = head, raw
+    def __init__(self, head: dict, raw: bytes, seal: tuple | None = None):
+        self.head, self.raw, self.seal = head, raw, seal
 
 
 class Scanner:
@@ -197,12 +203,52 @@ def _predicted(data: bytes, parms: dict) -> bytes:
 
 
 class Document:
-    def __init__(self, data: bytes):
-        self.data, self.objects = data, {}
-        self.places = {(int(m[1])): m.end() for m in _OBJECT.finditer(data)}  # the last one of a number counts
-        self.encrypted = bool(re.search(rb"/Encrypt[\0\t\n\f\r ]+\d+", data))
-        if not self.encrypted:
-            self._object_streams()
+    def __init__(self, data: bytes, password: str = ""):
+        self.data, self.objects, self.handler, self.locked = data, {}, None, ""
+        found = list(_OBJECT.finditer(data))  # the last one of a number counts
+        self.places = {int(m[1]): m.end() for m in found}
+        self.generations = {int(m[1]): int(m[2]) for m in found}
+        self.trailer = self._trailer(sorted(self.places.values()))
+        spec = self.get(self.trailer.get("Encrypt"))
+        self.encrypted = "Encrypt" in self.trailer
+        if self.encrypted:
+            try:
+                self.handler = self._handler(spec, password)
+            except Locked as e:
+                self.locked = str(e)
+                return
+        self._object_streams()
+
+    def _trailer(self, places: list[int]) -> dict:
+        """The entries of all trailers, a later one's before an earlier one's."""
+        out = {}
+        for m in re.finditer(rb"\btrailer\b|/XRef\b", self.data):
+            at = bisect_right(places, m.start()) - 1
+            begin = m.end() if m[0] == b"trailer" else places[at] if at >= 0 else len(self.data)
+            value = Scanner(self.data, begin).value()
+            if isinstance(value, dict) and (m[0] == b"trailer" or value.get("Type") == "XRef"):
+                out |= {k: v for k, v in value.items() if k in ("Encrypt", "ID", "Info", "Root")}
+        return out
+
+    def _handler(self, spec, password: str) -> Handler:
+        if not isinstance(spec, dict):
+            raise Locked("broken encryption dictionary")
+        spec = {k: self.get(v) for k, v in spec.items()}
+        if isinstance(spec.get("CF"), dict):
+            spec["CF"] = {k: self.get(v) for k, v in spec["CF"].items()}
+        ids = self.get(self.trailer.get("ID"))
+        first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
+        return Handler(spec, first if isinstance(first, bytes) else b"", password)
+
+    def _opened(self, value, number: int, generation: int):
+        """A value with its strings unsealed."""
+        if isinstance(value, bytes):
+            return self.handler.open(value, number, generation, self.handler.strings)
+        if isinstance(value, dict):
+            return {k: self._opened(v, number, generation) for k, v in value.items()}
+        if isinstance(value, list):
+            return [self._opened(v, number, generation) for v in value]
+        return value
 
     def get(self, x, depth: int = 0):
         if not isinstance(x, Ref):
@@ -211,14 +257,17 @@ class Document:
         if number not in self.objects:
             self.objects[number] = None  # a cycle reads as null
             if number in self.places:
-                self.objects[number] = self._read(self.places[number])
+                self.objects[number] = self._read(number)
         value = self.objects[number]
         return self.get(value, depth + 1) if isinstance(value, Ref) and depth < 16 else value
 
-    def _read(self, at: int):
-        s = Scanner(self.data, at)
+    def _read(self, number: int):
+        s, generation = Scanner(self.data, self.places[number]), self.generations[number]
         value = s.value()
         s.skip()
+        sealed = self.handler and not (isinstance(value, dict) and value.get("Type") == "XRef")
+        if sealed:
+            value = self._opened(value, number, generation)
         if not isinstance(value, dict) or self.data[s.at : s.at + 6] != b"stream":
             return value
         begin = s.at + 6
@@ -228,14 +277,26 @@ class Document:
         if end < 0 or not re.match(rb"\s*endstream", self.data[end : end + 16]):
             end = self.data.find(b"endstream", begin)
             end = len(self.data) if end < 0 else end
-        return Stream(value, self.data[begin:end])
+        return Stream(value, self.data[begin:end], (number, generation) if sealed else None)
+
+    def _unsealed(self, s: Stream, names: list, parms: list) -> bytes:
+        if s.seal is None:
+            return s.raw
+        way = self.handler.streams
+        if "Crypt" in names:
+            at = names.index("Crypt")
+            own = self.get(parms[at]) if at < len(parms) else None
+            way = self.handler.method(self.get(own.get("Name")) if isinstance(own, dict) else None)
+        elif s.head.get("Type") == "Metadata" and self.handler.spec.get("EncryptMetadata") == "false":
+            way = ""
+        return self.handler.open(s.raw, *s.seal, way)
 
     def bytes_of(self, s: Stream) -> bytes:
         names = self.get(s.head.get("Filter")) or []
         names = names if isinstance(names, list) else [names]
         parms = self.get(s.head.get("DecodeParms")) or {}
         parms = parms if isinstance(parms, list) else [parms]
-        data = s.raw
+        data = self._unsealed(s, [str(self.get(n)) for n in names], parms)
         for i, name in enumerate(names):
             name = str(self.get(name))
             p = self.get(parms[i]) if i < len(parms) else {}
@@ -259,7 +320,7 @@ class Document:
                         out += data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n)
                         at += 2 + n if n < 128 else 2
                     data = bytes(out)
-                else:
+                elif name != "Crypt":
                     return b""
             except (zlib.error, ValueError):
                 return b""
@@ -305,6 +366,25 @@ class Document:
     def font(self, ref) -> "Font":
         return Font(self, self.get(ref) or {})
 
+    def meta(self) -> dict[str, str]:
+        """The entries of the information dictionary; empty where there is none."""
+        info = self.get(self.trailer.get("Info"))
+        info = info if isinstance(info, dict) and not self.locked else {}
+        found = {name: self.get(info.get(key)) for name, key in META.items()}
+        return {name: _text(v) if isinstance(v, bytes) else "" for name, v in found.items()}
+
+
+# Names of metadata, and the keys they have in a file.
+META = {"title": "Title", "author": "Author", "subject": "Subject", "creator": "Creator", "producer": "Producer",
+        "creationDate": "CreationDate", "modDate": "ModDate"}
+
+
+def _text(raw: bytes) -> str:
+    """A text string: UTF-16 or UTF-8 by its mark, single bytes otherwise."""
+    marks = ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"), (b"\xef\xbb\xbf", "utf-8"))
+    mark, codec = next((m for m in marks if raw.startswith(m[0])), (b"", "cp1252"))
+    return raw[len(mark) :].decode(codec, "replace").replace("\0", "").strip()
+
 
 class Font:
     """Maps the bytes of a shown string to text, and gives its width in thousandths."""
@@ -492,19 +572,44 @@ def reading_order(pieces: list[tuple]) -> str:
     return "\n".join(x for x in out if x)
 
 
-def extract(data: bytes) -> dict:
-    """{ok, pages: [(index from 0, text)], warning}."""
+def extract(data: bytes, password: str = "", seconds: float = MAX_SECONDS) -> dict:
+    """{ok, pages: [(index from 0, text)], meta, encrypted, warning}.
+
+    A file with content and no text (images only) is ok. Pages that ``seconds`` do not reach
+    are left out, and the warning says so.
+    """
+    out = {"ok": False, "pages": [], "meta": dict.fromkeys(META, ""), "encrypted": False, "warning": "not a PDF"}
     if b"%PDF" not in data[:1024]:
-        return {"ok": False, "pages": [], "warning": "not a PDF"}
-    doc = Document(data)
-    if doc.encrypted:
-        return {"ok": False, "pages": [], "warning": "encrypted"}
-    pages = []
-    for i, page in enumerate(doc.pages()):
+        return out
+    until, doc = time.monotonic() + seconds, Document(data, password)
+    out |= {"meta": doc.meta(), "encrypted": doc.encrypted, "warning": ""}
+    if doc.locked:
+        return out | {"warning": f"encrypted: {doc.locked}"}
+    filled, pages = False, doc.pages()
+    for i, page in enumerate(pages):
+        if time.monotonic() > until:
+            out["warning"] = f"pages cut at {i} of {len(pages)}: out of time"
+            break
         parts = doc.get(page.get("Contents"))
+        filled |= parts is not None
         parts = parts if isinstance(parts, list) else [parts]
         content = b"\n".join(doc.bytes_of(s) for s in map(doc.get, parts) if isinstance(s, Stream))
         resources = doc.get(page.get("Resources")) or {}
-        pages.append((i, reading_order(page_pieces(doc, content, resources if isinstance(resources, dict) else {}))))
-    found = any(t for _, t in pages)
-    return {"ok": found, "pages": pages, "warning": "" if found else "no text"}
+        out["pages"].append((i, reading_order(page_pieces(doc, content, resources if isinstance(resources, dict) else {}))))
+    out["ok"] = filled
+    if not any(t for _, t in out["pages"]):
+        out["warning"] = out["warning"] or "no text"
+    return out
+
+
+def info(data: bytes, password: str = "") -> dict:
+    """{ok, version, page_count, meta, encrypted, warning}, without reading any page."""
+    head = re.search(rb"%PDF-(\d+\.\d+)", data[:1024])
+    out = {"ok": False, "version": head[1].decode() if head else "", "page_count": 0, "meta": dict.fromkeys(META, "")}
+    if b"%PDF" not in data[:1024]:
+        return out | {"encrypted": False, "warning": "not a PDF"}
+    doc = Document(data, password)
+    out |= {"meta": doc.meta(), "encrypted": doc.encrypted}
+    if doc.locked:
+        return out | {"warning": f"encrypted: {doc.locked}"}
+    return out | {"ok": True, "page_count": len(doc.pages()), "warning": ""}
