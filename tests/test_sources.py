@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomewright.functions import crypto
-from tomewright.sources import decode, files, office, pdf
+from tomewright.sources import config, decode, files, office, pdf
 from tomewright.streaming.events import ThinkFilter
 
 
@@ -146,6 +146,27 @@ def test_file_tree(spark, tmp_path):
     assert [r["data"] for r in files.sse_data(spark, str(tmp_path / "s.txt")).collect()] == ["one"]
 
 
+def test_settings_are_layered(tmp_path):
+    (tmp_path / "a.json").write_text('{"search": {"page": 10, "modes": ["x"]}, "host": "h"}')
+    (tmp_path / "bad.json").write_text("{")
+    defaults = {"search": {"page": 30, "modes": ["a", "b"], "snippets": True}, "port": 1}
+    paths = [str(tmp_path / n) for n in ("a.json", "bad.json", "none.json")]
+    want = {"search": {"page": 10, "modes": ["x"], "snippets": True}, "port": 8, "host": "h"}
+    assert config.load(defaults, *paths, environment={"TOMEWRIGHT_PORT": "8"}) == want
+    assert defaults["search"]["page"] == 30
+    assert config.save(paths[0], {"search": {"page": 5}})["search"] == {"page": 5, "modes": ["x"]}
+    assert config.load(defaults, paths[0], environment={})["search"]["page"] == 5
+
+
+def test_sealed_files_of_a_tree(spark, tmp_path):
+    key = crypto.derive_key("secret", b"salt")
+    sealed = spark.range(1).select(crypto.seal(F.lit(b"hidden"), key).alias("c")).first()["c"]
+    (tmp_path / "a.txt").write_bytes(bytes(sealed))
+    (tmp_path / "b.txt").write_bytes(b"plain")
+    got = {r["path"][-5:]: bytes(r["content"]) for r in files.read_tree(spark, str(tmp_path), key=key).collect()}
+    assert got == {"a.txt": b"hidden", "b.txt": b"plain"}
+
+
 def test_envelope_and_passwords(spark):
     key = crypto.derive_key("secret", b"salt")
     df = spark.createDataFrame([(b"content",), (b"",)], "c binary").select("c", crypto.seal(F.col("c"), key).alias("e"))

@@ -19,14 +19,17 @@ def derive_key(password: str, salt: bytes) -> bytes:
 
 
 def seal(data: Column, key: bytes) -> Column:
-    """magic, 12-byte iv, 16-byte tag, ciphertext (AES-256 in Galois counter mode)."""
-    made = F.aes_encrypt(data, F.lit(key), F.lit("GCM"))
-    return F.concat(
-        F.lit(MAGIC),
-        F.substring(made, 1, 12),
-        F.substr(made, F.octet_length(made) - 15, F.lit(16)),
-        F.substr(made, F.lit(13), F.octet_length(made) - 28),
-    )
+    """magic, 12-byte iv, 16-byte tag, ciphertext (AES-256 in Galois counter mode).
+
+    Every evaluation draws an iv of its own, so the pieces are cut from one bound value.
+    """
+
+    def cut(made: Column) -> Column:
+        size = F.octet_length(made)
+        tag, body = F.substr(made, size - 15, F.lit(16)), F.substr(made, F.lit(13), size - 28)
+        return F.concat(F.lit(MAGIC), F.substring(made, 1, 12), tag, body)
+
+    return F.transform(F.array(F.aes_encrypt(data, F.lit(key), F.lit("GCM"))), cut)[0]
 
 
 def unseal(data: Column, key: bytes) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tomewright.functions import crypto
 from tomewright.functions.text import PREVIEW_KINDS, CODE_EXTENSIONS, TEXT_EXTENSIONS
 
 DOCUMENT = "ok boolean, kind string, text string, html string, pages array<struct<index:int,text:string>>, meta map<string,string>, warning string"
@@ -138,14 +139,18 @@ def documents(files: DataFrame, most_text: int = MAX_TEXT) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read_tree(spark: SparkSession, root: str, pattern: str = "*", most: int = MAX_FILE) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, pattern: str = "*", most: int = MAX_FILE, key: bytes | None = None) -> DataFrame:
     """(path, modificationTime, length, content) of a folder and all below it.
 
-    Files of more than ``most`` bytes are listed with null content, unread.
+    Files of more than ``most`` bytes are listed with null content, unread. With a ``key``,
+    sealed content is opened and plain content left as it is; ``length`` is that of the file.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     large = reader.load(root).where(F.col("length") > most).withColumn("content", F.lit(None).cast("binary"))
-    return reader.load(root).where(F.col("length") <= most).unionByName(large)
+    read = reader.load(root).where(F.col("length") <= most)
+    if key is not None:
+        read = read.withColumn("content", crypto.unseal(F.col("content"), key))
+    return read.unionByName(large)
 
 
 def byte_range(content: Column, start: int, length: int) -> Column:
